@@ -25,6 +25,8 @@ BUCKET_BYTES = 48 << 20
 
 #: The endings that the byte-level pattern splits off after an apostrophe.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+#: Class of code points that haven't been met yet.
+UNKNOWN = 255
 
 
 def vocabulary(path: str) -> str:
@@ -39,12 +41,27 @@ class Splitter:
     Special tokens are cut out first.  Classes: letter, number, other, white space.
     """
 
-    _classes = None
+    def __init__(self, content: str) -> None:
+        from tokenizers import Tokenizer
 
-    def __init__(self, specials: list[str]) -> None:
-        self.specials = specials
-        if Splitter._classes is None:
-            Splitter._classes = _code_classes()
+        self.specials = specials(content)
+        self.ask = Tokenizer.from_str(content).pre_tokenizer.pre_tokenize_str
+        self.classes = np.full(0x110000, UNKNOWN, np.uint8)
+
+    def learn(self, points: np.ndarray) -> None:
+        """Classes of code points, asked of the library's own pattern, whose Unicode may be older than Python's.
+
+        A code point between two letters makes one piece with them if it is a letter; likewise
+        between numbers and between others; what never does is white space.
+        """
+        self.classes[points] = 3
+        for number, between in enumerate("a1!"):
+            text = np.full(2 * len(points) + 1, ord(between), np.uint32)
+            text[1::2] = points
+            starts = np.zeros(len(text) + 1, bool)
+            starts[[a for _, (a, _) in self.ask(text.tobytes().decode("utf-32-le"))]] = True
+            at = np.arange(1, len(text), 2)
+            self.classes[points[~starts[at] & ~starts[at + 1]]] = number
 
     def pieces(self, text: str) -> list[str]:
         for s in self.specials:
@@ -61,7 +78,10 @@ class Splitter:
         if not text:
             return []
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        kind = Splitter._classes[codes]
+        kind = self.classes[codes]
+        if (new := kind == UNKNOWN).any():
+            self.learn(np.unique(codes[new]))
+            kind = self.classes[codes]
         n = len(kind)
         starts = np.empty(n, bool)
         starts[0] = True
@@ -87,17 +107,6 @@ class Splitter:
                     break
 
 
-def _code_classes() -> np.ndarray:
-    import regex
-
-    everything = np.full(0x110000, 2, np.uint8)
-    text = "".join(map(chr, range(0x110000)))
-    for number, pattern in ((0, r"\p{L}+"), (1, r"\p{N}+"), (3, r"\p{White_Space}+")):
-        for m in regex.finditer(pattern, text):
-            everything[m.start() : m.end()] = number
-    return everything
-
-
 class Encoder:
     """Encodes single words with the library, and gives each id's piece as bytes."""
 
@@ -194,7 +203,7 @@ def encoded(
     payloads = packed_blocks(source, source.columns, blocks).repartition(blocks, "block")
 
     def ask(key, frame: pd.DataFrame) -> pd.DataFrame:
-        split = Splitter(specials(content.value))
+        split = Splitter(content.value)
         words: set[str] = set()
         for payload in frame["payload"]:
             for text in _texts([payload])[1]:
@@ -218,7 +227,7 @@ def encoded(
     answered = asked.groupBy("bucket").applyInPandas(answer, "block long, bucket long, ids binary")
 
     def join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        split = Splitter(specials(content.value))
+        split = Splitter(content.value)
         table = pieces(content.value)
         ids = dict(zip(right["bucket"], right["ids"]))
         parts = []
