@@ -199,3 +199,14 @@ def unpacked(payloads) -> pd.DataFrame:
     open_ = zstandard.ZstdDecompressor()
     tables = [pa.ipc.open_stream(open_.decompress(p)).read_all() for p in payloads]
     return pa.concat_tables(tables).to_pandas(integer_object_nulls=True)
+
+
+def handed_on(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again; the next stage's input."""
+    import uuid
+
+    context = df.sparkSession.sparkContext
+    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or tempfile.mkdtemp(prefix="gridloom-stages-")
+    path = f"{shared.rstrip('/')}/stage-{'-'.join(name.split())}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
