@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import packed_blocks, pieces_for, text_bytes, unpacked
 
-BLOCK_BYTES = 24 << 20
-BUCKET_BYTES = 48 << 20
+BLOCK_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20
 
 #: The endings that the byte-level pattern splits off after an apostrophe.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
