@@ -21,7 +21,7 @@ TOTAL_PERCENT = 150
 CAP = 2
 STEPS = 60
 #: A bucket of documents that are dealt copies together.
-DEAL = 50_000
+DEAL = 1_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
