@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import struct
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -108,9 +110,10 @@ class Splitter:
 
 
 class Encoder:
-    """Encodes single words with the library, and gives each id's piece as bytes."""
+    """Encodes single words with the library."""
 
     def __init__(self, content: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content)
@@ -121,10 +124,16 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
 
+# One of each for a worker's life; groups of a task share them.
+splitter = lru_cache(1)(lambda content: Splitter(content))
+encoder = lru_cache(1)(lambda content: Encoder(content))
+
+
 def specials(content: str) -> list[str]:
     return [t["content"] for t in json.loads(content)["added_tokens"]]
 
 
+@lru_cache(1)
 def pieces(content: str) -> dict[int, bytes]:
     """The id-to-piece table: bytes that each id stands for."""
     data = json.loads(content)
@@ -171,7 +180,7 @@ def _unpacked_ids(data: bytes) -> list[list[int]]:
     return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def _by_bucket(words: set[str], buckets: int) -> dict[int, list[bytes]]:
+def _by_bucket(words, buckets: int) -> dict[int, list[bytes]]:
     """The distinct words of a block, in byte order, by the bucket that encodes them."""
     import xxhash
 
@@ -203,7 +212,7 @@ def encoded(
     payloads = packed_blocks(source, source.columns, blocks).repartition(blocks, "block")
 
     def ask(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        split = Splitter(content.value)
+        split = splitter(content.value)
         words: set[str] = set()
         for payload in frame["payload"]:
             for text in _texts([payload])[1]:
@@ -218,42 +227,40 @@ def encoded(
         requests = [_unpacked(w) for w in frame["words"]]
         distinct = sorted({w for r in requests for w in r})
         known: dict[bytes, list[int]] = {}
-        encoder = Encoder(content.value)
+        encode = encoder(content.value)
         for at in range(0, len(distinct), 20_000):
             part = distinct[at : at + 20_000]
-            known.update(zip(part, encoder.ids([w.decode("utf-8", "surrogatepass") for w in part])))
+            known.update(zip(part, encode.ids([w.decode("utf-8", "surrogatepass") for w in part])))
         return pd.DataFrame({"block": frame["block"], "bucket": frame["bucket"], "ids": [_packed_ids([known[w] for w in r]) for r in requests]})
 
     answered = asked.groupBy("bucket").applyInPandas(answer, "block long, bucket long, ids binary")
 
     def join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        split = Splitter(content.value)
-        table = pieces(content.value)
-        ids = dict(zip(right["bucket"], right["ids"]))
-        parts = []
-        # the block's words again, so that only ids had to travel back
-        split_texts, frames, words = [], [], set()
+        split, table = splitter(content.value), pieces(content.value)
+        # the block's words again, so that only ids had to travel back; texts become positions in their list
+        index: dict[str, int] = {}
+        frames, texts = [], []
         for payload in left["payload"]:
-            frame, texts = _texts([payload])
-            frames.append(frame)
-            lists = [split.pieces(t) for t in texts]
-            words.update(*lists)
-            split_texts.append(lists)
-        known: dict[str, tuple[int, bytes, bytes, list[int]]] = {}
-        for bucket, asked_words in _by_bucket(words, buckets).items():
-            for w, i in zip(asked_words, _unpacked_ids(ids[bucket])):
-                known[w.decode("utf-8", "surrogatepass")] = (len(i), ",".join(map(str, i)).encode(), b"".join([table[x] for x in i]), i)
-        for frame, lists in zip(frames, split_texts):
-            rows = []
-            for words_ in lists:
-                found = [known[w] for w in words_]
-                line = b",".join([f[1] for f in found])
-                text = b"".join([f[2] for f in found]).decode("utf-8", "replace")
-                row = [sum(f[0] for f in found), hashlib.sha256(line).hexdigest(), hashlib.sha256(text.encode()).hexdigest()]
-                rows.append([*row, [x for f in found for x in f[3]], text] if with_ids else row)
-            names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])]
-            parts.append(pd.concat([frame[keep], pd.DataFrame(rows, columns=names, index=frame.index)], axis=1))
-        return pd.concat(parts)
+            frame, parts = _texts([payload])
+            frames.append(frame[keep])
+            texts += [np.array([index.setdefault(w, len(index)) for w in split.pieces(t)], np.int32) for t in parts]
+        count, lines, decoded, ids = [0] * len(index), [b""] * len(index), [b""] * len(index), [[]] * len(index)
+        replies = dict(zip(right["bucket"], right["ids"]))
+        for bucket, asked_words in _by_bucket(index, buckets).items():
+            for w, i in zip(asked_words, _unpacked_ids(replies[bucket])):
+                k = index[w.decode("utf-8", "surrogatepass")]
+                count[k], lines[k], decoded[k] = len(i), ",".join(map(str, i)).encode(), b"".join([table[x] for x in i])
+                if with_ids:
+                    ids[k] = i
+        rows = []
+        for at in map(np.ndarray.tolist, texts):
+            line = b",".join([lines[k] for k in at])
+            text = b"".join([decoded[k] for k in at]).decode("utf-8", "replace")
+            row = [sum([count[k] for k in at]), hashlib.sha256(line).hexdigest(), hashlib.sha256(text.encode()).hexdigest()]
+            rows.append([*row, [x for k in at for x in ids[k]], text] if with_ids else row)
+        names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])]
+        whole = pd.concat(frames, ignore_index=True)
+        return pd.concat([whole, pd.DataFrame(rows, columns=names, index=whole.index)], axis=1)
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     schema = f"{kinds}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
