@@ -124,9 +124,16 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
 
-# One of each for a worker's life; groups of a task share them.
-splitter = lru_cache(1)(lambda content: Splitter(content))
-encoder = lru_cache(1)(lambda content: Encoder(content))
+@lru_cache(1)
+def splitter(content: str) -> Splitter:
+    """One for a worker's life."""
+    return Splitter(content)
+
+
+@lru_cache(1)
+def encoder(content: str) -> Encoder:
+    """One for a worker's life."""
+    return Encoder(content)
 
 
 def specials(content: str) -> list[str]:
