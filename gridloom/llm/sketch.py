@@ -21,7 +21,7 @@ SHINGLE = 5
 #: One hash in so many is kept.
 SCALE = 4
 #: Bytes of text in a range of ids that one task walks through.
-RANGE_BYTES = 24 << 20
+RANGE_BYTES = 8 << 20
 
 
 def sketched(texts, shingle: int = SHINGLE, scale: int = SCALE) -> list[np.ndarray]:
