@@ -11,12 +11,14 @@ from ..raster import Raster
 
 def euclidean_distance_transform(r: Raster, border: str = "background", method: str = "fast") -> Raster:
     """Distance of object pixels to the background; method "square" leaves out the root."""
-    return per_image(lambda a: D.edt(a, border, r.pixel_size, method == "square"), r)
+    spacing = r.pixel_size
+    return per_image(lambda a: D.edt(a, border, spacing, method == "square"), r)
 
 
 def vector_distance_transform(r: Raster, border: str = "background") -> Raster:
     """Vectors, x first, to the nearest background pixel."""
-    return per_image(lambda a: D.vector_distance(a, border, r.pixel_size)[1], r, tensor=True)
+    spacing = r.pixel_size
+    return per_image(lambda a: D.vector_distance(a, border, spacing)[1], r, tensor=True)
 
 
 def grey_weighted_distance_transform(grey: Raster, seed: Raster, mask: Raster | None = None, metric: str = "chamfer", lengths: bool = False) -> Raster:

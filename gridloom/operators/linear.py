@@ -69,10 +69,11 @@ def separable_convolution(r: Raster, weights: dict[str, list[float]], boundary:
         ((dim, w),) = weights.items()
         return convolve_lines(r, dim, w, boundary)
     halo = max(len(w) for w in weights.values()) // 2 + 1
+    numbered = [(r.dims.index(d), w) for d, w in weights.items()]
 
     def kernel(a):
-        for d, w in weights.items():
-            a = K.convolve_axis(a, w, r.dims.index(d), boundary)
+        for d, w in numbered:
+            a = K.convolve_axis(a, w, d, boundary)
         return a
 
     return per_tile(kernel, r, halo, boundary)

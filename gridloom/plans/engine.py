@@ -94,7 +94,7 @@ def per_tile(kernel: Callable[[np.ndarray], np.ndarray], raster: Raster, halo: i
     """
     from ..kernels.boundary import extended
 
-    dims, sizes = raster.dims, raster.sizes
+    dims, sizes = raster.dims, raster.sizes  # tasks get these, not the raster
     counts = [ceil(n / tile) for n in sizes]
     reach = []
     for d, n, c in zip(dims, sizes, counts):
