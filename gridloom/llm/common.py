@@ -201,12 +201,36 @@ def unpacked(payloads) -> pd.DataFrame:
     return pa.concat_tables(tables).to_pandas(integer_object_nulls=True)
 
 
-def handed_on(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again; the next stage's input."""
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all machines share."""
     import uuid
 
-    context = df.sparkSession.sparkContext
-    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or tempfile.mkdtemp(prefix="gridloom-stages-")
-    path = f"{shared.rstrip('/')}/stage-{'-'.join(name.split())}-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="gridloom-")
+    return f"{shared.rstrip('/')}/{'-'.join(name.split())}-{uuid.uuid4().hex}"
+
+
+def handed_on(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again; the next stage's input."""
+    path = shared_path(df.sparkSession, f"stage {name}")
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+class Shelf:
+    """Intermediate tables in the shared folder, compressed, that ``clear`` removes.
+
+    Lineage is cut as by a checkpoint, and sizes are known to the planner.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.root, self.n = spark, shared_path(spark, name), 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.root}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,11 +2,11 @@
 
 Operator 1.  Two small collections of T short minhash tuples each give T*T table keys, one for
 every pair of a left and a right tuple, from 2*T*WIDTH minhashes instead of T*T*2*WIDTH.  At
-similarity 0.8 a pair of documents shares no key with probability 2 * (1 - 0.8**3)**20, about
+similarity 0.8 a pair of documents shares no key with probability 2 * (1 - 0.8**5)**37, about
 1e-6, and less above.
 
 Equal sets are folded into one representative first.  A tuple that only one representative has
-can't be part of a shared key, so pairs are formed from shared tuples alone.  Members of a key are
+can't be part of a shared key, so keys are formed from shared tuples alone.  Members of a key are
 verified against the key's leader on full sets; keys whose members then still lie in several
 components get other leaders, and at last every remaining pair across components is verified, so
 no candidate is left out while groups of copies never expand into all their pairs.
@@ -19,18 +19,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, document_words, lowered, mix, sequence_hashes, to_long
+from .common import Shelf, checkpointed, document_words, lowered, mix, sequence_hashes, to_long
 
 #: Words of a shingle, for pipelines; op1's contract fixes two.
 SHINGLE = 5
 #: Tuples of each collection, and minhashes of each tuple.
-TUPLES, WIDTH = 20, 3
+TUPLES, WIDTH = 37, 5
 #: Similarity in per cent.
 PERCENT = 80
-#: Rounds of leaders before the remaining pairs are all verified.
-ROUNDS = 4
+#: Rounds of other leaders before the remaining pairs are all verified.
+ROUNDS = 2
+#: So many ids at most are broadcast to pick their texts; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
-_CHUNK = 4096
+_CHUNK = 1024
 
 
 def _multipliers(tuples: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,52 +121,54 @@ def near_duplicates(
     null doc_id link nothing and keep a null component.  Repeated rows repeat; rows that share a
     doc_id are taken to share their text.  An empty table gives an empty table.  Other columns are ignored.
     """
-    signed = checkpointed(signatures(docs, shingle, tuples, width))
+    shelf = Shelf(docs.sparkSession, "minhash")
+    full = shelf.put(signatures(docs, shingle, tuples, width))
+    signed = checkpointed(full.select("doc_id", "n_shingles", "digest"))
     linkable = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     reps = checkpointed(linkable.groupBy("digest").agg(F.min("doc_id").alias("rep")))
+    members = shelf.put(_key_members(shelf, full.where("digest IS NOT NULL AND doc_id IS NOT NULL"), linkable, reps, tuples))
 
-    # candidate keys of representatives
-    of_rep = linkable.select("doc_id", "tuples", "n_shingles").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    single = of_rep.select("doc_id", "n_shingles", F.posexplode("tuples").alias("side", "h"))
-    shared = single.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
-    both = single.join(shared, "h").groupBy("doc_id").agg(
-        F.collect_set(F.when(F.col("side") < tuples, F.col("h"))).alias("left"),
-        F.collect_set(F.when(F.col("side") >= tuples, F.col("h"))).alias("right"),
-    )
-    keyed = both.select("doc_id", F.explode("left").alias("l"), "right").select("doc_id", F.explode("right").alias("r"), "l")
-    members = keyed.select(F.xxhash64("l", "r").alias("key"), "doc_id")
-    lead = members.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("hi")).where("leader < hi").select("key", "leader")
-    members = checkpointed(members.join(lead, "key"))
-
-    wanted = checkpointed(members.select("doc_id").distinct())
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    sets = checkpointed(full_sets(texts, shingle).dropDuplicates(["doc_id"]))
+    wanted = shelf.put(members.select("doc_id").distinct())
+    few = wanted.count() <= BROADCAST_IDS
+    texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+    sets = shelf.put(full_sets(texts, shingle).dropDuplicates(["doc_id"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are linked on their full sets."""
         left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
         right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
         # sizes first: a set under the share of the other's size can't reach the similarity
-        bound_ = F.lit(100) * F.least(F.size("x"), F.size("y")) >= F.lit(percent) * F.greatest(F.size("x"), F.size("y"))
+        near = F.lit(100) * F.least(F.size("x"), F.size("y")) >= F.lit(percent) * F.greatest(F.size("x"), F.size("y"))
         common = F.size(F.array_intersect("x", "y"))
         return (
-            pairs.join(left, "a").join(right, "b").where(bound_)
+            pairs.join(left, "a").join(right, "b").where(near)
             .select("a", "b", (F.size("x") + F.size("y")).alias("n"), common.alias("c"))
             .where(F.lit(100) * F.col("c") >= F.lit(percent) * (F.col("n") - F.col("c")))
             .select("a", "b")
         )
 
-    links = checkpointed(verified(members.where("leader <> doc_id").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()))
-    roots = checkpointed(components(links))
-
-    def open_keys() -> DataFrame:
-        """(key, doc_id, root) of the keys whose members lie in several components."""
-        rooted = members.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-        mixed_ = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        return rooted.join(mixed_, "key")
-
+    stars = members.where("leader <> doc_id").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
+    roots = checkpointed(components(shelf.put(verified(stars))))
+
+    def still_open(rows: DataFrame) -> DataFrame:
+        """Of rows (key, doc_id, root), those of keys whose members lie in several components."""
+        several = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+        return rows.join(several, "key")
+
+    def merged(left: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Roots and open rows after more links, which join components by their roots."""
+        root_of = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
+        ends = more.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+        moved = checkpointed(components(ends).select(F.col("id").alias("root"), F.col("root").alias("new")))
+        # a document that had no link yet is a root of its own
+        both = roots.join(moved, "root", "left").select("id", F.coalesce("new", "root").alias("root"))
+        alone = moved.join(roots, moved["root"] == roots["id"], "left_anti").select(F.col("root").alias("id"), F.col("new").alias("root"))
+        again = left.join(moved, "root", "left").select("key", "doc_id", F.coalesce("new", "root").alias("root"))
+        return checkpointed(both.union(alone)), again
+
+    rooted = members.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    left = shelf.put(still_open(rooted))
     for turn in range(rounds):
-        left = checkpointed(open_keys())
         if left.isEmpty():
             break
         pick = F.min_by(F.struct("doc_id", "root"), F.xxhash64("doc_id", F.lit(turn)))
@@ -173,28 +177,46 @@ def near_duplicates(
             left.join(chosen, "key").where("p.root <> root")
             .select(F.least("doc_id", "p.doc_id").alias("a"), F.greatest("doc_id", "p.doc_id").alias("b")).distinct()
         )
-        more = checkpointed(verified(pairs))
+        more = shelf.put(verified(pairs))
         if not more.isEmpty():
-            links = links.union(more)
-            roots = checkpointed(components(links))
-    else:
-        left = checkpointed(open_keys())
+            roots, again = merged(left, more)
+            left = shelf.put(still_open(again))
     if not left.isEmpty():
         # all that remains: pairs across components that share a key
         one, two = left.alias("x"), left.alias("y")
         pairs = one.join(two, F.expr("x.key = y.key AND x.root < y.root")).select(
             F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")
         )
-        more = checkpointed(verified(pairs.distinct()))
+        more = shelf.put(verified(pairs.distinct()))
         if not more.isEmpty():
-            roots = checkpointed(components(links.union(more)))
+            roots, _ = merged(left, more)
 
-    named = reps.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
-    joined = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    named = checkpointed(reps.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root")))
+    shelf.clear()
+    joined = signed.join(named, "digest", "left")
     root = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("root", "doc_id"))
     return joined.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(root == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def _key_members(shelf: Shelf, full: DataFrame, linkable: DataFrame, reps: DataFrame, tuples: int) -> DataFrame:
+    """(key, doc_id, leader) of every table key that two representatives or more have."""
+    copies = shelf.put(linkable.join(reps, "digest").where("doc_id <> rep").select("doc_id").distinct())
+    single = full.join(copies, "doc_id", "left_anti").select("doc_id", "tuples")
+
+    def shared(rows: DataFrame) -> DataFrame:
+        """(doc_id, h) of the tuples that several documents have; the most frequent costs a row a task."""
+        often = rows.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
+        return rows.join(often, "h")
+
+    left = shared(single.select("doc_id", F.explode(F.slice("tuples", 1, tuples)).alias("h"))).groupBy("doc_id").agg(F.collect_set("h").alias("left"))
+    both = shelf.put(single.join(left, "doc_id").select("doc_id", "left", F.slice("tuples", tuples + 1, tuples).alias("right")))
+    right = shared(both.select("doc_id", F.explode("right").alias("h"))).groupBy("doc_id").agg(F.collect_set("h").alias("right"))
+    pairs = both.select("doc_id", "left").join(right, "doc_id").select("doc_id", "left", F.explode("right").alias("r")).select("doc_id", "r", F.explode("left").alias("l"))
+    keyed = pairs.select(F.xxhash64("l", "r").alias("key"), "doc_id")
+    lead = keyed.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("hi")).where("leader < hi").select("key", "leader")
+    return keyed.join(lead, "key").select("key", "doc_id", "leader")
+
+
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """One row of each group of near duplicates, with the columns of ``docs``.
 
