@@ -198,7 +198,9 @@ def unpacked(payloads) -> pd.DataFrame:
 
     open_ = zstandard.ZstdDecompressor()
     tables = [pa.ipc.open_stream(open_.decompress(p)).read_all() for p in payloads]
-    return pa.concat_tables(tables).to_pandas(integer_object_nulls=True)
+    frame = pa.concat_tables(tables).to_pandas(integer_object_nulls=True)
+    # plain objects: Arrow-backed strings in several pieces don't go back to Spark
+    return frame.astype({c: object for c in frame.columns if frame[c].dtype != object and not pd.api.types.is_numeric_dtype(frame[c])})
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
