@@ -86,7 +86,8 @@ class Spaces:
     def convert(self, a: Column, source: str, target: str) -> Column:
         way = self.path(source, target)
         for s, t in zip(way, way[1:]):
-            a = self.steps[s][t][1](a)
+            # bound, so that a step's input is evaluated once however often the step uses it
+            a = F.element_at(F.transform(F.array(a), self.steps[s][t][1]), 1)
         return a
 
 

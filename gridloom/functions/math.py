@@ -180,33 +180,40 @@ def erfc(v: Column) -> Column:
     return 1 - erf(v)
 
 
+def _bound(v: Column, body) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.element_at(F.transform(F.array(v), body), 1)
+
+
 def bessel_j(n: int, v: Column, steps: int = 40) -> Column:
     """J of integer order by the trapezoidal rule on its integral, exact to rounding for |v| < 2 * steps - n."""
-    total = F.lit(0.0)
-    for k in range(2 * steps):
-        t = math.pi * (k + 0.5) / (2 * steps)
-        total = total + F.cos(F.lit(n * t) - v * math.sin(t))
-    return total / (2 * steps)
-
-
-def bessel_y(n: int, v: Column, terms: int = 30) -> Column:
-    """Y of integer order for 0 < v < 25, from J of even or neighbouring orders; -inf at 0, NaN below."""
-    euler = 0.5772156649015329
-    if n == 0:
-        total = (2 / math.pi) * (F.log(v / 2) + euler) * bessel_j(0, v, 60)
-        for k in range(1, terms):
-            total = total - (4 / math.pi) * ((-1) ** k / k) * bessel_j(2 * k, v, 60)
-        return F.when(v > 0, total).otherwise(F.when(v == 0, F.lit(float("-inf"))).otherwise(F.lit(float("nan"))))
-    if n == 1:
-        # the Wronskian: J1 Y0 - J0 Y1 = 2 / (pi v); where J0 is small the derivative series is used
-        total = -2 / (math.pi * v) * bessel_j(0, v, 60) + (2 / math.pi) * (F.log(v / 2) + euler - 1) * bessel_j(1, v, 60)
-        for k in range(1, terms):
-            total = total - (2 / math.pi) * ((-1) ** k * (2 * k + 1) / (k * (k + 1))) * bessel_j(2 * k + 1, v, 60)
-        return F.when(v > 0, total).otherwise(F.when(v == 0, F.lit(float("-inf"))).otherwise(F.lit(float("nan"))))
-    before, here = bessel_y(0, v, terms), bessel_y(1, v, terms)
-    for k in range(1, n):
-        before, here = here, here * (2 * k) / v - before
-    return here
+
+    def integral(x: Column) -> Column:
+        def add(total: Column, k: Column) -> Column:
+            t = (k + 0.5) * (math.pi / (2 * steps))
+            return total + F.cos(t * n - x * F.sin(t))
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(2 * steps - 1)), F.lit(0.0), add) / (2 * steps)
+
+    return _bound(v, integral)
+
+
+def bessel_y(n: int, v: Column, steps: int = 1000) -> Column:
+    """Y of integer order for v > 0 by Simpson's rule on its two integrals; -inf at 0, NaN below."""
+
+    def integral(x: Column) -> Column:
+        end = F.asinh((40.0 + 12 * n) / x)
+
+        def add(total: Column, k: Column) -> Column:
+            weight = F.when((k == 0) | (k == steps), 1.0).when(k % 2 == 1, 4.0).otherwise(2.0)
+            s, t = k * (math.pi / steps), end * k / steps
+            wave = F.sin(x * F.sin(s) - s * n) * math.pi
+            fall = (F.exp(t * n) + (-1) ** n * F.exp(-t * n)) * F.exp(-x * F.sinh(t)) * end
+            return total + weight * (wave - fall)
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(steps)), F.lit(0.0), add) / (3 * steps * math.pi)
+
+    return F.when(v > 0, _bound(v, integral)).when(v == 0, F.lit(float("-inf"))).otherwise(F.lit(float("nan")))
 
 
 # --- complex numbers as struct<re, im> --------------------------------------------------------

@@ -148,16 +148,34 @@ def eigenvectors_2x2(a: Column) -> Column:
     return F.array(F.cos(t), -F.sin(t), F.sin(t), F.cos(t))
 
 
+def _bound(v: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(v), body), 1)
+
+
 def eigenvalues_3x3(a: Column) -> Column:
     """Eigenvalues of a symmetric 3 x 3 matrix by the trigonometric formula, by falling magnitude."""
-    q = (a[0] + a[4] + a[8]) / 3
-    off = a[1] * a[1] + a[2] * a[2] + a[5] * a[5]
-    p = F.sqrt(((a[0] - q) * (a[0] - q) + (a[4] - q) * (a[4] - q) + (a[8] - q) * (a[8] - q) + 2 * off) / 6)
-    b = F.array(*[F.when(p == 0, F.lit(0.0)).otherwise(F.try_divide(a[i] - (q if i in (0, 4, 8) else F.lit(0.0)), p)) for i in range(9)])
-    r = F.least(F.greatest(determinant(b, 3) / 2, F.lit(-1.0)), F.lit(1.0))
-    t = F.acos(r) / 3
-    one, three = q + 2 * p * F.cos(t), q + 2 * p * F.cos(t + 2 * math.pi / 3)
-    return by_magnitude(F.array(one, 3 * q - one - three, three))
+
+    def scaled(m: Column) -> Column:
+        q = (m[0] + m[4] + m[8]) / 3
+        off = m[1] * m[1] + m[2] * m[2] + m[5] * m[5]
+        p = F.sqrt(((m[0] - q) * (m[0] - q) + (m[4] - q) * (m[4] - q) + (m[8] - q) * (m[8] - q) + 2 * off) / 6)
+        return F.struct(m.alias("m"), q.alias("q"), p.alias("p"))
+
+    def angled(s: Column) -> Column:
+        def shape(k: int) -> Column:
+            v = s["m"][k] - (s["q"] if k in (0, 4, 8) else F.lit(0.0))
+            return F.when(s["p"] == 0, F.lit(0.0)).otherwise(F.try_divide(v, s["p"]))
+
+        half = _bound(F.array(*[shape(k) for k in range(9)]), lambda b: determinant(b, 3) / 2)
+        return F.struct(s["q"].alias("q"), s["p"].alias("p"), (F.acos(F.least(F.greatest(half, F.lit(-1.0)), F.lit(1.0))) / 3).alias("t"))
+
+    def ends(s: Column) -> Column:
+        one, three = s["q"] + 2 * s["p"] * F.cos(s["t"]), s["q"] + 2 * s["p"] * F.cos(s["t"] + 2 * math.pi / 3)
+        return F.struct(s["q"].alias("q"), one.alias("one"), three.alias("three"))
+
+    found = _bound(_bound(_bound(_bound(a, scaled), angled), ends), lambda s: F.array(s["one"], 3 * s["q"] - s["one"] - s["three"], s["three"]))
+    return by_magnitude(found)
 
 
 def by_magnitude(a: Column) -> Column:
