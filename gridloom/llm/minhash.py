@@ -8,8 +8,9 @@ similarity 0.8 a pair of documents shares no key with probability 2 * (1 - 0.8**
 Equal sets are folded into one representative first.  A tuple that only one representative has
 can't be part of a shared key, so keys are formed from shared tuples alone.  Members of a key are
 verified against the key's leader on full sets; keys whose members then still lie in several
-components get other leaders, and at last every remaining pair across components is verified, so
-no candidate is left out while groups of copies never expand into all their pairs.
+components get other leaders, and at last all remaining pairs across components are compared: those of
+small keys by a join, those of large ones in blocks, so no candidate is left out while groups of
+copies never expand into all their pairs.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ TUPLES, WIDTH = 37, 5
 PERCENT = 80
 #: Rounds of other leaders before the remaining pairs are all verified.
 ROUNDS = 2
+#: Members of a key up to which its remaining pairs are joined; larger keys are compared in blocks of so many documents.
+SMALL, BLOCK = 16, 256
 #: So many ids at most are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -183,11 +186,13 @@ def near_duplicates(
             left = shelf.put(still_open(again))
     if not left.isEmpty():
         # all that remains: pairs across components that share a key
-        one, two = left.alias("x"), left.alias("y")
+        counted = left.join(left.groupBy("key").agg(F.count("*").alias("n")), "key")
+        small, large = counted.where(F.col("n") <= SMALL), counted.where(F.col("n") > SMALL)
+        one, two = small.alias("x"), small.alias("y")
         pairs = one.join(two, F.expr("x.key = y.key AND x.root < y.root")).select(
             F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")
         )
-        more = shelf.put(verified(pairs.distinct()))
+        more = shelf.put(verified(pairs.distinct()).union(_links_in_blocks(shelf, large.select("key", "doc_id", "root"), sets, percent)))
         if not more.isEmpty():
             roots, _ = merged(left, more)
 
@@ -198,6 +203,64 @@ def near_duplicates(
     return joined.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(root == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def _links_in_blocks(shelf: Shelf, rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of all linked documents among members of large keys.
+
+    Keys of one group of near copies overlap, so documents that they chain together are taken once,
+    cut into blocks by hash, and every two blocks meet in a task, which compares all their sets by
+    a product of incidence matrices and gives the links of a spanning forest alone.  Memory is
+    bounded by the block; nothing is emitted per pair.
+    """
+    first = rows.groupBy("key").agg(F.min("doc_id").alias("least"))
+    chains = rows.join(first, "key").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
+    group = components(chains).select(F.col("id").alias("doc_id"), F.col("root").alias("group"))
+    placed = shelf.put(rows.select("doc_id", "root").distinct().join(group, "doc_id"))
+    size = placed.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    numbered = placed.join(size, "group").select("*", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"))
+    # block i meets every block: the pair is named by its lower and higher number
+    met = numbered.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "group", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc_id", "root"
+    )
+    filled = met.join(sets, "doc_id")
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        ids, roots, items = frame["doc_id"].to_numpy(), frame["root"].to_numpy(), list(frame["items"])
+        n = np.array([len(x) for x in items])
+        _, at, often = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(ids)), n)
+        # shingles of one document can't be common
+        number = np.cumsum(often > 1) - 1
+        keep = often[at] > 1
+        row, column = row[keep], number[at[keep]]
+        common = np.zeros((len(ids), len(ids)), np.float32)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for start in range(0, int((often > 1).sum()), 4096):
+            lo, hi = np.searchsorted(column, [start, start + 4096])
+            part = np.zeros((len(ids), 4096), np.float32)
+            part[row[lo:hi], column[lo:hi] - start] = 1
+            common += part @ part.T
+        linked = 100 * common >= percent * (n[:, None] + n[None, :] - common)
+        parent = {r: r for r in roots.tolist()}
+
+        def find(k):
+            while parent[k] != k:
+                parent[k] = parent[parent[k]]
+                k = parent[k]
+            return k
+
+        out = []
+        for i, j in zip(*np.nonzero(np.triu(linked, 1))):
+            p, q = find(int(roots[i])), find(int(roots[j]))
+            if p != q:
+                parent[p] = q
+                out.append((int(ids[i]), int(ids[j])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    kind = sets.schema["doc_id"].dataType.simpleString()
+    return filled.groupBy("group", "lo", "hi").applyInPandas(compare, f"a {kind}, b {kind}")
+
+
 def _key_members(shelf: Shelf, full: DataFrame, linkable: DataFrame, reps: DataFrame, tuples: int) -> DataFrame:
     """(key, doc_id, leader) of every table key that two representatives or more have."""
     copies = shelf.put(linkable.join(reps, "digest").where("doc_id <> rep").select("doc_id").distinct())
