@@ -31,44 +31,68 @@ TREES, DEPTH, RATE, BINS, LEAF = 60, 3, 0.2, 32, 20
 FEATURES = (
     "url_length", "host_length", "path_length", "depth", "digit_ratio", "host_digit_ratio", "entropy", "host_entropy",
     "parameters", "host_labels", "host_hyphens", "longest_label", "suffix_score", "path_hyphens",
+    "switches",
 )
 
-#: Parts of hosts for the generated sample of labelled URLs.
-UNWANTED_PARTS = "casino bet bets win poker slots cheap pills pharma loan loans cash free deal deals spam farm ads track click banner promo adult cam crypto bonus lucky".split()
-ORDINARY_PARTS = "blog news www shop wiki docs city times daily school library music garden travel science health book review forum data photo art house river stone green".split()
-SHORT_PARTS = "x xx 24 7 go up hub net top pro vip".split()
-SYLLABLES = "tha ther ion ing en st re on and ti an es or ed th ha he sh ou le ar ma no ri ta ko".split()
+#: Words of hosts and paths of the generated sample, the same for both classes.
+WORDS = (
+    "amber anchor apple arrow atlas bakery basket bridge bright candle canvas castle cedar circle clover coffee copper corner cotton "
+    "crystal dragon eagle ember engine falcon feather field forest fountain galaxy gentle ginger glacier golden granite harbor hazel "
+    "helmet honey horizon island ivory jasmine jungle kettle kitchen lantern laurel lemon lunar maple marble meadow mirror monarch "
+    "mountain needle night oak ocean olive orange orchid otter paper pearl pebble pepper pilot planet pocket prairie purple quartz "
+    "rabbit rocket saddle saffron sailor shadow silver smart spring summit sunset tiger timber travel tulip valley velvet violet "
+    "walnut water willow window winter yellow zebra account article center city club company digital family gallery group guide "
+    "history home international institute journal learning local magazine market media museum national network office online people "
+    "project public research review school service society software sport store studio system theatre today university video world"
+).split()
+SUFFIXES = "com com com net org info io co.uk de fr es it eu biz online site edu us".split()
+ALNUM = "abcdefghijklmnopqrstuvwxyz0123456789"
 
 
 def labelled_urls(size: int = SAMPLE, seed: int = 9) -> tuple[list[str], np.ndarray]:
-    """``size`` unwanted (1) and as many ordinary (0) URLs, made by a seeded generator."""
+    """``size`` unwanted (1) and as many ordinary (0) URLs, made by a seeded generator.
+
+    Words, suffixes, hyphens of hosts and kinds of paths are drawn alike for both classes; an unwanted
+    URL has two or three of these signs besides: a random or numeric host, many labels, a long host,
+    a random path, many parameters.
+    """
     rng = np.random.default_rng(seed)
     pick = lambda x: x[int(rng.integers(len(x)))]
+    among = lambda low, high: int(rng.integers(low, high + 1))
+    noise = lambda low, high: "".join(pick(ALNUM) for _ in range(among(low, high)))
     urls, labels = [], []
     for k in range(2 * size):
         bad = k % 2
-        name = "".join(pick(SYLLABLES) for _ in range(int(rng.integers(1, 4))))
-        if bad:
-            host = "-".join([pick(UNWANTED_PARTS), *(pick(UNWANTED_PARTS + SHORT_PARTS) for _ in range(int(rng.integers(1, 3))))])
-            host += str(rng.integers(1, 999)) if rng.random() < 0.3 else ""
-            suffix = pick(["example.com", "example.net", "example.org", "com", "net", "xyz", "top", "click", "info"])
-        else:
-            host = name if rng.random() < 0.95 else f"{pick(ORDINARY_PARTS)}-{name}"
-            suffix = pick(["example.com", "example.net", "example.org", "com", "net", "org", "edu", "de", "fr"])
-        front = pick(["", "", "www.", "m.", "blog.", "news."])
-        path = "/" + pick(["en", "de", "fr", "es", "news", "post"]) + "/" + str(rng.integers(1, 1000))
-        if bad and rng.random() < 0.4:
-            path += "/" + "".join(pick("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(int(rng.integers(8, 24))))
-        if not bad and rng.random() < 0.3:
-            path += "/" + "-".join(pick(SYLLABLES) for _ in range(int(rng.integers(2, 6))))
-        tail = pick(["", "", "", ".html", "/", "#top", "?page=2&ref=x", "?utm_source=feed"])
-        if bad and rng.random() < 0.3:
-            tail = "?" + "&".join(f"{pick(SYLLABLES)}={rng.integers(0, 10**6)}" for _ in range(int(rng.integers(2, 7))))
-        urls.append(f"{pick(['http', 'https'])}://{front}{host}.{suffix}{path}{tail}")
+        signs = set(rng.permutation(["host", "labels", "long", "path", "query"])[: among(2, 3)]) if bad else set()
+        hyphens = pick([0, 0, 0, 0, 0, 1, 1, 2])
+        pieces = [pick(WORDS) for _ in range(max(hyphens + 1, among(4, 6) if "long" in signs else among(1, 2)))]
+        if "host" in signs:
+            pieces = [noise(8, 18) if rng.random() < 0.7 else f"{pick(WORDS)}{among(100, 10**6)}", *pieces[:hyphens]]
+        joints = set(rng.permutation(len(pieces) - 1)[:hyphens].tolist())
+        name = "".join(p + "-" * (j in joints) for j, p in enumerate(pieces)) + (str(among(1, 99)) if rng.random() < 0.1 else "")
+        labels_ = [pick(WORDS + ["login", "secure", "cdn", "srv1"]) for _ in range(among(2, 5))] if "labels" in signs else []
+        front = pick([[], [], ["www"], ["www"], ["m"], ["en"], [pick(WORDS)]])
+        host = ".".join([*front, *labels_, name, pick(SUFFIXES)])
+        if "host" in signs and not hyphens and rng.random() < 0.2:
+            host = ".".join(str(among(1, 254)) for _ in range(4))
+        slug = lambda low, high: pick("-_-").join(pick(WORDS) for _ in range(among(low, high)))
+        path = pick([
+            "", "/", f"/{pick(WORDS)}", f"/{pick(WORDS)}/{slug(1, 3)}", f"/{pick(WORDS)}/{slug(3, 8)}", f"/{pick(WORDS)}/{among(1, 10**7)}",
+            f"/{among(1998, 2026)}/{among(1, 12):02}/{among(1, 28):02}/{slug(3, 8)}", f"/{pick(WORDS)}/{pick(WORDS)}/{slug(1, 4)}-{among(1, 10**6)}",
+        ])
+        if "path" in signs:
+            path = path.rstrip("/") + "".join(f"/{noise(10, 32)}" for _ in range(among(1, 3)))
+        path += pick(["", "", "", ".htm", ".php", ".aspx"]) if path.strip("/") else ""
+        tail = pick(["", "", "", "", f"?id={among(1, 10**6)}", f"?q={pick(WORDS)}", f"?lang=en&p={among(1, 40)}", f"?v={noise(8, 11)}", f"#{pick(WORDS)}"])
+        if "query" in signs:
+            values = lambda: pick([str(among(0, 10**8)), noise(6, 30), pick(WORDS)])
+            tail = "?" + "&".join(f"{pick([noise(1, 4), pick(WORDS)])}={values()}" for _ in range(among(3, 9)))
+        urls.append(f"{pick(['http', 'https'])}://{host}{path or '/' * bool(tail)}{tail}")
         labels.append(bad)
     return urls, np.array(labels)
 
 
+_SWITCH = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 _PARTS = re.compile(r"\A.*?://([^/?#]*)([^?#]*)([^#]*)", re.S)
 
 
@@ -107,7 +131,7 @@ def features(url: str | None, scores: dict[str, float]) -> list[float]:
     return [
         len(url), len(host), len(path), sum(map(bool, path.split("/"))), digits(url), digits(host), entropy(url), entropy(host),
         query.count("=") + query.count("&"), len(labels), host.count("-"), max(map(len, labels), default=0), scores.get(suffix(host), 0.0),
-        path.count("-"),
+        path.count("-"), len(_SWITCH.findall(url)),
     ]
 
 

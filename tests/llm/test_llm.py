@@ -261,6 +261,35 @@ def test_urls_on_held_out_rows(spark):
         assert r.verdict == verdict if verdict else r.verdict in ("allow", "block")
 
 
+UNWANTED = """http://x7k2q9vbt4.com/a8f3k2l9d0s7/
+http://192.168.44.7/k3j5h2g8f9/verify?u=88123&s=aa91&k=2&z=77
+https://bestcheaponlinewatchesoutletstore.biz/deal?aff=1023&sub=99&cid=a8s7d6f5&src=mail
+http://secure.login.account.update.customer.paymentcheck.info/9f8e7d6c5b4a3f2e1d
+https://track.q8w7e6r5t4y3.net/c?o=4412&a=98123&t=18ab77cd&r=0099&x=1
+http://getrichquickwithcryptotoday.net/join?ref=71623&c=9912&z=1x9&k=20
+http://qzxwvkjh83mfp.org/2931kd93md03kd9/s0d9f8g7h6
+https://a1.b2.c3.d4.freegiftcard.site/claim?id=88231&tok=8a7d6f5e4c3b&s=3&e=1""".split()
+ORDINARY = """https://en.wikipedia.org/wiki/Apache_Spark
+https://www.nytimes.com/2023/05/12/us/politics/congress-budget-vote.html
+https://docs.python.org/3/library/re.html
+https://stack-overflow-blog.com/post/how-to-write-tests
+https://www.youtube.com/watch?v=dQw4w9WgXcQ
+https://rolls-royce.com/about
+https://www.coca-cola.com/us/en/brands
+https://news.ycombinator.com/item?id=8863""".split()
+
+
+def test_urls_from_outside_the_generator():
+    f = urls.Filter(*urls.labelled_urls())
+    assert (f.unwanted(UNWANTED) > 0.5).all() and (f.unwanted(ORDINARY) < 0.5).all()
+    u, y = urls.labelled_urls(1500)
+    hosts = [urls.parts(x)[0] for x in u]
+    hyphens = np.array([h.count("-") for h in hosts])
+    assert abs(hyphens[y == 1].mean() - hyphens[y == 0].mean()) < 0.1
+    named = [Counter(urls.suffix(h) for h, k in zip(hosts, y) if k == c and not urls.suffix(h).isdigit()) for c in (0, 1)]
+    assert set(named[0]) == set(named[1])
+
+
 def filled(sizes, weights=(5, 2, 1)):
     """Targets by pouring the excess of full sources on the others."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
