@@ -235,6 +235,26 @@ def test_markov_models_on_held_out_strings():
     assert s.added("see http/path/with_ordinary_words_and_names2024 thandthereingtionthtionstandre") == []
 
 
+def drawn(characters: str, length: int, n: int = 200) -> list[str]:
+    rng = np.random.default_rng(length)
+    return ["".join(rng.choice(list(characters), length)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("characters, length, least", [
+    (secrets.ALPHABET[:62], 12, 0.85), (secrets.ALPHABET[:62], 20, 0.97), (secrets.ALPHABET[:52], 20, 0.95),
+    (secrets.ALPHABET[:26] + "234567", 20, 0.95), (secrets.ALPHABET[26:52], 32, 0.9), ("0123456789abcdef", 20, 0.9),
+])
+def test_recall_of_random_strings(characters, length, least):
+    s = secrets.scanner()
+    assert np.mean([bool(s.added(f"see {x}, or")) for x in drawn(characters, length)]) >= least
+
+
+def test_ordinary_text_has_no_random_strings():
+    s = secrets.scanner()
+    assert np.mean([bool(s.added(x)) for x in secrets.labelled_sample(500, seed=99)[1]]) < 0.01
+    assert s.added("on 2024-05-12T10:30 call +49-170-1234567 about order 48293749283749283, donaudampfschifffahrt and internationalization in utf8_strings") == []
+
+
 def test_secrets_of_odd_rows(odd, empty):
     assert secrets.secret_scan(odd).count() == 6 and secrets.secret_scan(empty).count() == 0
     clean = {r.doc_id: r for r in secrets.redacted(odd).collect()}
