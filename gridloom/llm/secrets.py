@@ -1,7 +1,7 @@
 """Secret scans: patterns for known kinds, and character Markov models for the rest.
 
 Operator 8.  Two first-order models over character classes' letters, one of random strings and
-one of ordinary names, words and numbers, are trained from labelled samples; a run of letters
+one of ordinary names, words and numbers, are trained from labelled samples; a part of a run
 is a secret when the log-likelihood ratios of its pairs of characters sum to more than a threshold,
 so a short one needs a higher mean than a long one.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,10 @@ SAMPLE = 4000
 JOINTS = "/_-=+"
 #: Mean ratio of a pair, and pairs of that mean, whose sum a random string must exceed whatever its length.
 THRESHOLD, EVIDENCE = 0.75, 18
+#: Fall of the sum inside a segment from which on it is two, with ordinary pieces between.
+DROP = 8.0
+#: Characters of a piece that goes with a random one beside it.
+SHORT = 3
 #: Greatest ratio of one pair, so that no two or three rare pairs decide.
 MOST = 4.5
 #: Ratio that stands between runs of the alphabet's characters.
@@ -172,6 +177,9 @@ class Scanner:
         self.least = threshold * EVIDENCE
         self.table = np.full((len(ALPHABET) + 1, len(ALPHABET) + 1), GAP)
         self.table[:-1, :-1] = ratios
+        self.least = threshold * EVIDENCE
+        self.table = np.full((len(ALPHABET) + 1, len(ALPHABET) + 1), GAP)
+        self.table[:-1, :-1] = ratios
 
     def ratio(self, token: str) -> float:
         """Mean log-likelihood ratio of a token's pairs of characters."""
@@ -202,7 +210,47 @@ class Scanner:
         return [(int(gaps[k - 1]) + 1, int(gaps[k])) for k in np.unique(np.searchsorted(gaps, hits))]
 
     def _random(self, run: str) -> list[tuple[int, int]]:
-        return [(0, len(run))] if len(run) > 1 and self._sums(run)[1][-1] > self.least else []
+        """Segments of a run with the greatest sums, widened to the pieces that / _ - = + bound.
+
+        An end piece of which the segment has less than half is left out; a next piece that is too
+        short to be judged goes with them.
+        """
+        out, open_ = [], [(0, len(run))]
+        while open_:
+            low, high = open_.pop()
+            if high - low < 2:
+                continue
+            sums = self._sums(run[low:high])[1]
+            gains = sums - np.minimum.accumulate(sums)
+            last = int(gains.argmax())
+            if gains[last] <= self.least:
+                continue
+            first = int(sums[: last + 1].argmin())
+            joints = [k for k in range(high - low) if run[low + k] in JOINTS]
+            inner = sums[first : last + 1]
+            falls = np.maximum.accumulate(inner) - inner
+            between = [k for k in joints if first < k < last]
+            if between and falls.max() > DROP:
+                k = min(between, key=lambda k: abs(k - first - int(falls.argmax())))
+                open_ += [(low, low + k), (low + k + 1, high)]
+                continue
+            starts = [0, *(k + 1 for k in joints if k + 1 < high - low)]
+            ends = [*(k - 1 for k in joints if k), high - low - 1]
+            k = bisect_right(starts, first) - 1
+            if k + 1 < len(starts) and starts[k + 1] <= last and 2 * first > starts[k] + starts[k + 1] - 1:
+                k += 1
+            while k and starts[k] - starts[k - 1] - 1 <= SHORT:
+                k -= 1
+            first = starts[k]
+            k = bisect_left(ends, last)
+            if k and ends[k - 1] > first and 2 * last < ends[k - 1] + ends[k] + 1:
+                k -= 1
+            while k < len(ends) - 1 and ends[k + 1] - ends[k] - 1 <= SHORT:
+                k += 1
+            last = ends[k]
+            out.append((low + first, low + last + 1))
+            open_ += [(low, low + first), (low + last + 1, high)]
+        return sorted(out)
 
 
 def in_order(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:

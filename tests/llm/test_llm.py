@@ -249,6 +249,15 @@ def test_recall_of_random_strings(characters, length, least):
     assert np.mean([bool(s.added(f"see {x}, or")) for x in drawn(characters, length)]) >= least
 
 
+@pytest.mark.parametrize("before, after", [("/user/session/config/version/", ""), ("internal_service_client_session_token_", ""), ("client_session_name=", "/next/page")])
+def test_random_parts_of_runs(before, after):
+    s = secrets.scanner()
+    found = [s.added(before + x + after) for x in drawn(secrets.ALPHABET[:62], 32)]
+    assert np.mean([f == [("random", len(before), len(before) + 32)] for f in found]) > 0.9
+    two = f"{drawn(secrets.ALPHABET[:62], 24)[0]}/some/ordinary_words_between_them/{drawn(secrets.ALPHABET[:62], 40)[0]}"
+    assert [b - a for _, a, b in s.added(two)] == [24, 40]
+
+
 def test_ordinary_text_has_no_random_strings():
     s = secrets.scanner()
     assert np.mean([bool(s.added(x)) for x in secrets.labelled_sample(500, seed=99)[1]]) < 0.01
