@@ -194,6 +194,20 @@ def test_constant_slots_are_template(spark):
     assert found == {**{n: f"News {n} of the day" for n in range(4)}, 9: ""}
 
 
+def test_each_page_decides_its_layout(spark):
+    layouts = {
+        "article": "<body><h1>Site</h1><article><p>Story {n} inside</p></article></body>",
+        "marked": '<body><h1>Site</h1><div class="post"><p>Post {n} inside</p></div><div class="x">Beside</div></body>',
+        "plain": "<body><h1>Site</h1><p>Body paragraph {n} as it is</p></body>",
+    }
+    said = {"article": "Story {n} inside", "marked": "Post {n} inside", "plain": "Body paragraph {n} as it is"}
+    rows = [(n, url, kind) for url in ("http://h.example/", None) for n, kind in enumerate(["article"] * 2 + ["marked"] * 6 + ["plain"] * 6)]
+    rows = [(k, url, layouts[kind].format(n=n), said[kind].format(n=n)) for k, (n, url, kind) in enumerate(rows)]
+    pages = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in wrapper.extract_main_text(pages).collect()}
+    assert found == {k: text for k, _, _, text in rows}
+
+
 def test_tree_matching():
     a, b = (wrapper._folded(wrapper.parsed(h)) for h in ("<div><ul><li>a<li>b</ul><p>c</div>", "<div><h1>x</h1><ul><li>d</ul><p>e</div>"))
     assert wrapper.matched(a["c"], b["c"]) == 4
