@@ -26,19 +26,32 @@ _MASK = (1 << 64) - 1
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, its lineage cut.
-
-    The cluster names the folder in ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) a temporary folder stands in.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """``df`` written to the shared checkpoint folder, its lineage cut."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="gridloom-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+_local: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share.
+
+    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset a temporary folder
+    stands in, on a local master alone: elsewhere executors could not read it back.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared:
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="gridloom-"))
+    return _local[0]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -207,8 +220,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all machines share."""
     import uuid
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="gridloom-")
-    return f"{shared.rstrip('/')}/{'-'.join(name.split())}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{'-'.join(name.split())}-{uuid.uuid4().hex}"
 
 
 def handed_on(df: DataFrame, name: str) -> DataFrame:
@@ -233,6 +245,12 @@ class Shelf:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def __enter__(self) -> Shelf:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.clear()
+
     def clear(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,12 +5,12 @@ every pair of a left and a right tuple, from 2*T*WIDTH minhashes instead of T*T*
 similarity 0.8 a pair of documents shares no key with probability 2 * (1 - 0.8**5)**37, about
 1e-6, and less above.
 
-Equal sets are folded into one representative first.  A tuple that only one representative has
-can't be part of a shared key, so keys are formed from shared tuples alone.  Members of a key are
-verified against the key's leader on full sets; keys whose members then still lie in several
-components get other leaders, and at last all remaining pairs across components are compared: those of
-small keys by a join, those of large ones in blocks, so no candidate is left out while groups of
-copies never expand into all their pairs.
+Equal sets are folded into one node first.  Nodes that share a left tuple are verified against
+the tuple's leader on full sets and contracted, so a group of near copies is one component
+before any key expands.  Keys are formed for nodes still apart from others with which they share
+a left and a right tuple, one row per key and component.  Components that keys chain together are
+at last compared on full sets, in blocks, save nodes of the largest component among themselves:
+no candidate is left out, and no pair is a row.
 """
 
 from __future__ import annotations
@@ -28,10 +28,10 @@ SHINGLE = 5
 TUPLES, WIDTH = 37, 5
 #: Similarity in per cent.
 PERCENT = 80
-#: Rounds of other leaders before the remaining pairs are all verified.
-ROUNDS = 2
-#: Members of a key up to which its remaining pairs are joined; larger keys are compared in blocks of so many documents.
-SMALL, BLOCK = 16, 256
+#: Rounds of other leaders before keys are formed; more of them save comparisons, the result is the same.
+ROUNDS = 1
+#: Shingles of a block of nodes that one task compares with another block; it bounds a task's memory.
+BLOCK = 1 << 20
 #: So many ids at most are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -51,7 +51,7 @@ def shingle_sets(texts: list[bytes], shingle: int):
 
 
 def signatures(docs: DataFrame, shingle: int, tuples: int, width: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, tuples): tuples are 2 * tuples hashes, the left ones first."""
+    """(doc_id, at, n_shingles, digest, tuples) of each row: at names the row, tuples are 2 * tuples hashes, the left ones first."""
 
     @F.pandas_udf("n long, digest binary, tuples array<long>")
     def sign(texts: pd.Series) -> pd.DataFrame:
@@ -73,28 +73,36 @@ def signatures(docs: DataFrame, shingle: int, tuples: int, width: int) -> DataFr
             rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), to_long(keys)))
         return pd.DataFrame(rows, columns=["n", "digest", "tuples"])
 
-    return docs.select("doc_id", sign("text").alias("_s")).select(
-        "doc_id", F.col("_s.n").alias("n_shingles"), F.col("_s.digest").alias("digest"), F.col("_s.tuples").alias("tuples")
+    return docs.select("doc_id", _row_name(), sign("text").alias("_s")).select(
+        "doc_id", "at", F.col("_s.n").alias("n_shingles"), F.col("_s.digest").alias("digest"), F.col("_s.tuples").alias("tuples")
     )
 
 
+def _row_name():
+    """A name for a row's doc_id and text together."""
+    return F.xxhash64("doc_id", "text").alias("at")
+
+
 def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, items): all shingle hashes of each text."""
+    """(digest, items) of each text: all its shingle hashes and their digest."""
 
-    @F.pandas_udf("array<long>")
-    def items(texts: pd.Series) -> pd.Series:
-        return pd.Series([to_long(s) for s in shingle_sets(lowered(texts), shingle)])
+    @F.pandas_udf("digest binary, items array<long>")
+    def items(texts: pd.Series) -> pd.DataFrame:
+        import xxhash
 
-    return docs.select("doc_id", items("text").alias("items"))
+        sets = list(shingle_sets(lowered(texts), shingle))
+        return pd.DataFrame({"digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "items": [to_long(s) for s in sets]})
 
+    return docs.select(items("text").alias("_s")).select("_s.digest", "_s.items")
 
-def components(edges: DataFrame) -> DataFrame:
+
+def components(shelf: Shelf, edges: DataFrame) -> DataFrame:
     """(id, root) for every id in ``edges`` (a, b): root is the smallest id reachable.
 
     Alternates large-star and small-star steps; each is a grouped minimum and a join, and no
     vertex's neighbours are gathered.
     """
-    edges = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = shelf.put(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -104,143 +112,159 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: a vertex and its neighbours below move to the least of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
-        edges = checkpointed(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct())
+        edges = shelf.put(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct())
         print_ = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if print_ == seen:
             break
         seen = print_
     own = edges.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("root"))
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).union(own)
+    return shelf.put(edges.select(F.col("a").alias("id"), F.col("b").alias("root")).union(own))
 
 
-def near_duplicates(
-    docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, tuples: int = TUPLES, width: int = WIDTH, rounds: int = ROUNDS
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text).
 
     Documents are linked when 100 * intersection >= percent * union of their shingle sets;
-    component_id is the smallest doc_id of a component and kept marks that document.  A text
-    without words, null or empty, has no shingles and is a component of its own.  Rows with a
-    null doc_id link nothing and keep a null component.  Repeated rows repeat; rows that share a
-    doc_id are taken to share their text.  An empty table gives an empty table.  Other columns are ignored.
+    component_id is the least doc_id of a component and kept marks that document.  A text
+    without words, null or empty, has no shingles and is a component of its own.  Ids may be of
+    any type that has an order; nodes are sets, so rows that share a doc_id may differ in text.  Rows
+    without a doc_id link as others do; a component of such rows alone has no component_id, and
+    kept marks one of them (repeats of it too).  Repeated rows repeat.  An empty table gives an empty
+    table.  Other columns are ignored.  Options: those of ``grouped``.
     """
-    shelf = Shelf(docs.sparkSession, "minhash")
-    full = shelf.put(signatures(docs, shingle, tuples, width))
-    signed = checkpointed(full.select("doc_id", "n_shingles", "digest"))
-    linkable = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    reps = checkpointed(linkable.groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    members = shelf.put(_key_members(shelf, full.where("digest IS NOT NULL AND doc_id IS NOT NULL"), linkable, reps, tuples))
-
-    wanted = shelf.put(members.select("doc_id").distinct())
-    few = wanted.count() <= BROADCAST_IDS
-    texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    sets = shelf.put(full_sets(texts, shingle).dropDuplicates(["doc_id"]))
+    component = F.col("first.doc_id")
+    kept = F.coalesce(F.col("doc_id") == component, F.col("at") == F.col("first.at"))
+    return grouped(docs, **options).select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+
+
+def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, tuples: int = TUPLES, width: int = WIDTH, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
+    """(doc_id, at, n_shingles, first) for each row: first (alone, doc_id, at) is the first row of its component."""
+    with Shelf(docs.sparkSession, "minhash") as shelf:
+        full = shelf.put(signatures(docs, shingle, tuples, width))
+        own = F.struct(F.col("doc_id").isNull().alias("alone"), "doc_id", "at")
+        nodes = shelf.put(
+            full.where("digest IS NOT NULL").groupBy("digest").agg(F.min(own).alias("first"), F.min("at").alias("at"), F.first("tuples").alias("tuples"))
+            .withColumn("id", F.monotonically_increasing_id())
+        )
+        roots = _linked(shelf, docs, nodes, shingle, percent, tuples, rounds, block)
+        placed = nodes.select("digest", "first", "id").join(roots, "id", "left").select("digest", "first", F.coalesce("root", "id").alias("root"))
+        named = placed.join(placed.groupBy("root").agg(F.min("first").alias("least")), "root").select("digest", "least")
+        found = full.drop("tuples").join(named, "digest", "left").select("doc_id", "at", "n_shingles", F.coalesce("least", own).alias("first"))
+        return checkpointed(found)
+
+
+def _linked(shelf: Shelf, docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, tuples: int, rounds: int, block: int) -> DataFrame:
+    """(id, root) of the nodes that are linked to others."""
+    rows = nodes.select("id", F.explode(F.slice("tuples", 1, tuples)).alias("h"))
+    lead = rows.groupBy("h").agg(F.min("id").alias("leader"), F.max("id").alias("hi")).where("leader < hi").select("h", "leader")
+    left = shelf.put(rows.join(lead, "h").select("h", "id", "leader"))
+    sets = shelf.put(_sets_of(left.select("id").distinct(), docs, nodes, shingle))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are linked on their full sets."""
-        left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
-        right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
+        x = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
+        y = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
         # sizes first: a set under the share of the other's size can't reach the similarity
         near = F.lit(100) * F.least(F.size("x"), F.size("y")) >= F.lit(percent) * F.greatest(F.size("x"), F.size("y"))
         common = F.size(F.array_intersect("x", "y"))
         return (
-            pairs.join(left, "a").join(right, "b").where(near)
-            .select("a", "b", (F.size("x") + F.size("y")).alias("n"), common.alias("c"))
+            pairs.join(x, "a").join(y, "b").where(near)
+            .select("a", "b", (F.size("x") + F.size("y")).cast("long").alias("n"), common.cast("long").alias("c"))
             .where(F.lit(100) * F.col("c") >= F.lit(percent) * (F.col("n") - F.col("c")))
             .select("a", "b")
         )
 
-    stars = members.where("leader <> doc_id").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    roots = checkpointed(components(shelf.put(verified(stars))))
+    stars = left.where("leader <> id").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    roots = components(shelf, verified(stars))
 
-    def still_open(rows: DataFrame) -> DataFrame:
-        """Of rows (key, doc_id, root), those of keys whose members lie in several components."""
-        several = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        return rows.join(several, "key")
+    def apart(rows: DataFrame) -> DataFrame:
+        """Of rows (h, id, root), those of tuples whose nodes lie in several components."""
+        several = rows.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
+        return shelf.put(rows.join(several, "h"))
 
-    def merged(left: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Roots and open rows after more links, which join components by their roots."""
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.join(roots, "id", "left").select("h", "id", F.coalesce("root", "id").alias("root"))
+
+    def merged(more: DataFrame) -> DataFrame:
+        """Roots after more links, which join components by their roots."""
         root_of = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
         ends = more.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-        moved = checkpointed(components(ends).select(F.col("id").alias("root"), F.col("root").alias("new")))
-        # a document that had no link yet is a root of its own
+        moved = components(shelf, ends).select(F.col("id").alias("root"), F.col("root").alias("new"))
+        # a node that had no link yet is a root of its own
         both = roots.join(moved, "root", "left").select("id", F.coalesce("new", "root").alias("root"))
         alone = moved.join(roots, moved["root"] == roots["id"], "left_anti").select(F.col("root").alias("id"), F.col("new").alias("root"))
-        again = left.join(moved, "root", "left").select("key", "doc_id", F.coalesce("new", "root").alias("root"))
-        return checkpointed(both.union(alone)), again
+        return shelf.put(both.union(alone))
 
-    rooted = members.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    left = shelf.put(still_open(rooted))
+    still = apart(placed(left.select("h", "id")))
     for turn in range(rounds):
-        if left.isEmpty():
-            break
-        pick = F.min_by(F.struct("doc_id", "root"), F.xxhash64("doc_id", F.lit(turn)))
-        chosen = left.groupBy("key").agg(pick.alias("p"))
-        pairs = (
-            left.join(chosen, "key").where("p.root <> root")
-            .select(F.least("doc_id", "p.doc_id").alias("a"), F.greatest("doc_id", "p.doc_id").alias("b")).distinct()
-        )
+        chosen = still.groupBy("h").agg(F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(turn))).alias("p"))
+        pairs = still.join(chosen, "h").where("p.root <> root").select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
         more = shelf.put(verified(pairs))
         if not more.isEmpty():
-            roots, again = merged(left, more)
-            left = shelf.put(still_open(again))
-    if not left.isEmpty():
-        # all that remains: pairs across components that share a key
-        counted = left.join(left.groupBy("key").agg(F.count("*").alias("n")), "key")
-        small, large = counted.where(F.col("n") <= SMALL), counted.where(F.col("n") > SMALL)
-        one, two = small.alias("x"), small.alias("y")
-        pairs = one.join(two, F.expr("x.key = y.key AND x.root < y.root")).select(
-            F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")
-        )
-        more = shelf.put(verified(pairs.distinct()).union(_links_in_blocks(shelf, large.select("key", "doc_id", "root"), sets, percent)))
+            roots = merged(more)
+            still = apart(placed(still.select("h", "id")))
+    if not still.isEmpty():
+        right = nodes.join(still.select("id").distinct(), "id", "left_semi").select("id", F.explode(F.slice("tuples", tuples + 1, tuples)).alias("h"))
+        more = shelf.put(_links_in_blocks(shelf, _chained(shelf, still, apart(placed(right))), sets, percent, block))
         if not more.isEmpty():
-            roots, _ = merged(left, more)
+            roots = merged(more)
+    return roots
+
 
-    named = checkpointed(reps.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root")))
-    shelf.clear()
-    joined = signed.join(named, "digest", "left")
-    root = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("root", "doc_id"))
-    return joined.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(root == F.col("doc_id"), F.lit(True)).alias("kept"))
+def _sets_of(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(id, items): the full sets of the wanted nodes, each from the one row that names it."""
+    rows = nodes.join(wanted, "id", "left_semi").select("id", "digest", "at")
+    few = wanted.count() <= BROADCAST_IDS
+    names = rows.select("at").distinct()
+    texts = docs.select("text", _row_name()).join(F.broadcast(names) if few else names, "at", "left_semi")
+    return rows.join(full_sets(texts, shingle).dropDuplicates(["digest"]), "digest").select("id", "items")
 
 
-def _links_in_blocks(shelf: Shelf, rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join the components of all linked documents among members of large keys.
+def _chained(shelf: Shelf, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(id, root, group) of nodes whose components share table keys; a group is what keys chain together.
 
-    Keys of one group of near copies overlap, so documents that they chain together are taken once,
-    cut into blocks by hash, and every two blocks meet in a task, which compares all their sets by
-    a product of incidence matrices and gives the links of a spanning forest alone.  Memory is
-    bounded by the block; nothing is emitted per pair.
+    A key is a left and a right tuple; one row stands for all nodes of a component that have it.
     """
-    first = rows.groupBy("key").agg(F.min("doc_id").alias("least"))
-    chains = rows.join(first, "key").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
-    group = components(chains).select(F.col("id").alias("doc_id"), F.col("root").alias("group"))
-    placed = shelf.put(rows.select("doc_id", "root").distinct().join(group, "doc_id"))
-    size = placed.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    numbered = placed.join(size, "group").select("*", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"))
-    # block i meets every block: the pair is named by its lower and higher number
-    met = numbered.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "group", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc_id", "root"
-    )
-    filled = met.join(sets, "doc_id")
+    held = lambda rows, name: rows.groupBy("id", "root").agg(F.collect_set("h").alias(name))
+    both = shelf.put(held(left, "l").join(held(right, "r").drop("root"), "id"))
+    weight = both.groupBy("root").agg(F.count("*").alias("weight"))
+    keyed = both.select("root", "l", F.explode("r").alias("r")).select("root", "r", F.explode("l").alias("l")).select(F.xxhash64("l", "r").alias("key"), "root").distinct()
+    keyed = shelf.put(keyed.join(weight, "root"))
+    # the largest component of a key is its hub, so that few edges chain its components
+    hubs = keyed.groupBy("key").agg(F.max_by("root", "weight").alias("hub"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key", "hub")
+    chains = keyed.join(hubs, "key").where("root <> hub").select(F.col("root").alias("a"), F.col("hub").alias("b")).distinct()
+    group = components(shelf, chains).select(F.col("id").alias("root"), F.col("root").alias("group"))
+    return both.select("id", "root").join(group, "root").join(weight, "root")
+
+
+def _links_in_blocks(shelf: Shelf, rows: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (a, b) that join the components of all linked nodes of a group; rows are (id, root, group, weight).
+
+    Each group is cut into blocks of at most ``block`` shingles (a larger set is a block of its own): those of its
+    largest component and those of the others.  Blocks meet in a task unless both are of the largest
+    component, whose nodes are joined already.  A task looks the sets of one block up in an index of the other's
+    and gives the links of a spanning forest alone.
+    """
+    main = rows.groupBy("group").agg(F.max_by("root", "weight").alias("main"))
+    sized = rows.join(main, "group").join(sets.select("id", F.size("items").alias("n")), "id").select("id", "root", "group", (F.col("root") == F.col("main")).alias("joined"), "n")
+    sized = shelf.put(sized)
+    share = lambda c: F.greatest(F.ceil(F.sum(F.when(c, F.col("n")).otherwise(0)) / block), F.lit(1)).cast("int")
+    counts = sized.groupBy("group").agg(share(F.col("joined")).alias("first"), share(~F.col("joined")).alias("rest"))
+    number = F.when(F.col("joined"), F.pmod(F.xxhash64("id"), F.col("first"))).otherwise(F.col("first") + F.pmod(F.xxhash64("id"), F.col("rest")))
+    numbered = sized.join(counts, "group").select("*", number.cast("int").alias("block"))
+    met = numbered.select("*", F.explode(F.sequence(F.when(F.col("joined"), F.col("first")).otherwise(0), F.col("first") + F.col("rest") - 1)).alias("other"))
+    met = met.select("group", "id", "root", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        ids, roots, items = frame["doc_id"].to_numpy(), frame["root"].to_numpy(), list(frame["items"])
-        n = np.array([len(x) for x in items])
-        _, at, often = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(len(ids)), n)
-        # shingles of one document can't be common
-        number = np.cumsum(often > 1) - 1
-        keep = often[at] > 1
-        row, column = row[keep], number[at[keep]]
-        common = np.zeros((len(ids), len(ids)), np.float32)
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        for start in range(0, int((often > 1).sum()), 4096):
-            lo, hi = np.searchsorted(column, [start, start + 4096])
-            part = np.zeros((len(ids), 4096), np.float32)
-            part[row[lo:hi], column[lo:hi] - start] = 1
-            common += part @ part.T
-        linked = 100 * common >= percent * (n[:, None] + n[None, :] - common)
+        block, ids, roots, items = frame["block"].to_numpy(), frame["id"].to_numpy(), frame["root"].to_numpy(), list(frame["items"])
+        n = np.array([len(x) for x in items], np.int64)
+        start = np.concatenate([[0], np.cumsum(n)])
+        values, number = np.unique(np.concatenate(items), return_inverse=True)
+        held = np.flatnonzero(block == block.min())
+        owner = np.repeat(np.arange(len(held)), n[held])
+        theirs = np.concatenate([number[start[k] : start[k + 1]] for k in held])
+        order = np.argsort(theirs, kind="stable")
+        owner, edge = owner[order], np.searchsorted(theirs[order], np.arange(len(values) + 1))
         parent = {r: r for r in roots.tolist()}
 
         def find(k):
@@ -250,43 +274,33 @@ def _links_in_blocks(shelf: Shelf, rows: DataFrame, sets: DataFrame, percent: in
             return k
 
         out = []
-        for i, j in zip(*np.nonzero(np.triu(linked, 1))):
-            p, q = find(int(roots[i])), find(int(roots[j]))
-            if p != q:
-                parent[p] = q
-                out.append((int(ids[i]), int(ids[j])))
+        for q in np.flatnonzero(block == block.max()):
+            mine = number[start[q] : start[q + 1]]
+            a, many = edge[mine], edge[mine + 1] - edge[mine]
+            where = np.repeat(a - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+            common = np.bincount(owner[where], minlength=len(held))
+            for k in held[100 * common >= percent * (n[q] + n[held] - common)]:
+                x, y = find(int(roots[q])), find(int(roots[k]))
+                if x != y:
+                    parent[x] = y
+                    out.append((int(ids[q]), int(ids[k])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    kind = sets.schema["doc_id"].dataType.simpleString()
-    return filled.groupBy("group", "lo", "hi").applyInPandas(compare, f"a {kind}, b {kind}")
-
-
-def _key_members(shelf: Shelf, full: DataFrame, linkable: DataFrame, reps: DataFrame, tuples: int) -> DataFrame:
-    """(key, doc_id, leader) of every table key that two representatives or more have."""
-    copies = shelf.put(linkable.join(reps, "digest").where("doc_id <> rep").select("doc_id").distinct())
-    single = full.join(copies, "doc_id", "left_anti").select("doc_id", "tuples")
-
-    def shared(rows: DataFrame) -> DataFrame:
-        """(doc_id, h) of the tuples that several documents have; the most frequent costs a row a task."""
-        often = rows.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
-        return rows.join(often, "h")
-
-    left = shared(single.select("doc_id", F.explode(F.slice("tuples", 1, tuples)).alias("h"))).groupBy("doc_id").agg(F.collect_set("h").alias("left"))
-    both = shelf.put(single.join(left, "doc_id").select("doc_id", "left", F.slice("tuples", tuples + 1, tuples).alias("right")))
-    right = shared(both.select("doc_id", F.explode("right").alias("h"))).groupBy("doc_id").agg(F.collect_set("h").alias("right"))
-    pairs = both.select("doc_id", "left").join(right, "doc_id").select("doc_id", "left", F.explode("right").alias("r")).select("doc_id", "r", F.explode("left").alias("l"))
-    keyed = pairs.select(F.xxhash64("l", "r").alias("key"), "doc_id")
-    lead = keyed.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("hi")).where("leader < hi").select("key", "leader")
-    return keyed.join(lead, "key").select("key", "doc_id", "leader")
+    return met.join(sets, "id").groupBy("group", "lo", "hi").applyInPandas(compare, "a long, b long")
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """One row of each group of near duplicates, with the columns of ``docs``.
 
-    Rows without a doc_id are all kept; of rows that repeat a doc_id one is kept.
+    It is a row with the group's least doc_id, or without one if none has any.  Texts without words, null or
+    empty, are near duplicates of nothing.  Rows that repeat both doc_id and text are one document; those with neither id nor
+    words are all kept.  An empty table stays empty.  Clashing names of other columns do no harm.
     """
-    dropped = near_duplicates(docs, **options).where("NOT kept").select("doc_id").distinct()
-    again = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
-    kept = docs.join(dropped, "doc_id", "left_anti")
-    once = kept.join(again, "doc_id", "left_anti")
-    return once.unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*[f"`{c}`" for c in docs.columns])
+    rows = grouped(docs, **options)
+    lost = rows.where("at <> first.at").select("at").distinct()
+    again = rows.where("doc_id IS NOT NULL OR n_shingles > 0").groupBy("at").count().where("count > 1").select("at")
+    named = docs.withColumn("_at_of_row", F.xxhash64("doc_id", "text"))
+    here = lambda t: t.withColumnRenamed("at", "_at_of_row")
+    kept = named.join(here(lost), "_at_of_row", "left_anti")
+    once = kept.join(here(again), "_at_of_row", "left_anti")
+    return once.unionByName(kept.join(here(again), "_at_of_row", "left_semi").dropDuplicates(["_at_of_row"])).select(*[f"`{c}`" for c in docs.columns])
