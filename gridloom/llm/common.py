@@ -142,6 +142,19 @@ def document_words(texts: list[bytes]):
             low = high
 
 
+def slices(batches, column: str = "text"):
+    """The Arrow batches cut into slices of about RUN_BYTES of text each, so that little is unpacked at once."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), np.int64)
+        piece = np.cumsum(sizes) // RUN_BYTES
+        edges = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def _odd(k: int) -> int:
     return (pow(0xD1342543DE82EF95, 2 * k + 3, 1 << 64)) | 1
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shelf, checkpointed, document_words, lowered, mix, sequence_hashes, to_long
+from .common import Shelf, checkpointed, document_words, lowered, mix, sequence_hashes, slices, to_long
 
 #: Words of a shingle, for pipelines; op1's contract fixes two.
 SHINGLE = 5
@@ -53,29 +53,32 @@ def shingle_sets(texts: list[bytes], shingle: int):
 def signatures(docs: DataFrame, shingle: int, tuples: int, width: int) -> DataFrame:
     """(doc_id, at, n_shingles, digest, tuples) of each row: at names the row, tuples are 2 * tuples hashes, the left ones first."""
 
-    @F.pandas_udf("n long, digest binary, tuples array<long>")
-    def sign(texts: pd.Series) -> pd.DataFrame:
+
+    def sign(batches):
+        import pyarrow as pa
         import xxhash
 
         a, b = _multipliers(tuples, width)
         salt = mix(np.arange(1, 2 * tuples + 1, dtype=np.uint64))
         odd = mix(np.arange(101, 101 + width, dtype=np.uint64)) | np.uint64(1)
-        rows = []
-        for s in shingle_sets(lowered(texts), shingle):
-            if not len(s):
-                rows.append((0, None, None))
-                continue
-            x = (s >> np.uint64(32)).astype(np.uint32)
-            least = np.full(len(a), 0xFFFFFFFF, np.uint32)
-            for at in range(0, len(x), _CHUNK):
-                np.minimum(least, (x[at : at + _CHUNK, None] * a + b).min(axis=0), out=least)
-            keys = mix((least.astype(np.uint64).reshape(2 * tuples, width) * odd).sum(axis=1, dtype=np.uint64) ^ salt)
-            rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), to_long(keys)))
-        return pd.DataFrame(rows, columns=["n", "digest", "tuples"])
-
-    return docs.select("doc_id", _row_name(), sign("text").alias("_s")).select(
-        "doc_id", "at", F.col("_s.n").alias("n_shingles"), F.col("_s.digest").alias("digest"), F.col("_s.tuples").alias("tuples")
-    )
+        for part in slices(batches):
+            sizes, digests, keys = [], [], []
+            for s in shingle_sets(lowered(part.column("text").to_pylist()), shingle):
+                sizes.append(len(s))
+                digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                if not len(s):
+                    keys.append(None)
+                    continue
+                x = (s >> np.uint64(32)).astype(np.uint32)
+                least = np.full(len(a), 0xFFFFFFFF, np.uint32)
+                for at in range(0, len(x), _CHUNK):
+                    np.minimum(least, (x[at : at + _CHUNK, None] * a + b).min(axis=0), out=least)
+                keys.append(to_long(mix((least.astype(np.uint64).reshape(2 * tuples, width) * odd).sum(axis=1, dtype=np.uint64) ^ salt)))
+            columns = [part.column("doc_id"), part.column("at"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "at", "n_shingles", "digest", "tuples"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", _row_name(), "text").mapInArrow(sign, f"doc_id {kind}, at long, n_shingles long, digest binary, tuples array<long>")
 
 
 def _row_name():
@@ -86,14 +89,17 @@ def _row_name():
 def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
     """(digest, items) of each text: all its shingle hashes and their digest."""
 
-    @F.pandas_udf("digest binary, items array<long>")
-    def items(texts: pd.Series) -> pd.DataFrame:
+
+    def items(batches):
+        import pyarrow as pa
         import xxhash
 
-        sets = list(shingle_sets(lowered(texts), shingle))
-        return pd.DataFrame({"digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "items": [to_long(s) for s in sets]})
+        for part in slices(batches):
+            sets = list(shingle_sets(lowered(part.column("text").to_pylist()), shingle))
+            digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([to_long(s) for s in sets], pa.list_(pa.int64()))], ["digest", "items"])
 
-    return docs.select(items("text").alias("_s")).select("_s.digest", "_s.items")
+    return docs.select("text").mapInArrow(items, "digest binary, items array<long>")
 
 
 def components(shelf: Shelf, edges: DataFrame) -> DataFrame:
