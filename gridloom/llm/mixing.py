@@ -25,9 +25,9 @@ DEAL = 1_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): the number of words of each whole text."""
+    """(doc_id, source, size, h): the number of words of each whole text, and a hash of the row."""
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
-    return docs.select("doc_id", "source", words.cast("long").alias("size"))
+    return docs.select("doc_id", "source", words.cast("long").alias("size"), F.xxhash64("doc_id", "source", "text").alias("h"))
 
 
 def targets(histogram: DataFrame, weights=WEIGHTS, percent: int = TOTAL_PERCENT, cap: int = CAP) -> DataFrame:
@@ -162,14 +162,14 @@ def dealt(sized: DataFrame, groups: DataFrame, deal: int = DEAL) -> DataFrame:
         sized.alias("d")
         .join(groups.alias("g"), F.expr("d.source <=> g.source AND d.size = g.size"))
         .select(
-            "d.doc_id", "d.source", "d.size", "g.source_size", "g.target",
-            F.floor(F.col("copies") / F.col("n")).alias("each"), F.expr("copies % n").alias("rest"),
-            F.xxhash64("d.doc_id").alias("h"), F.ceil(F.col("n") / deal).alias("buckets"),
+            "d.doc_id", "d.source", "d.size", "d.h", "g.source_size", "g.target",
+            F.floor(F.col("copies") / F.col("n")).alias("each"), F.expr("copies % n").alias("rest"), F.ceil(F.col("n") / deal).alias("buckets"),
         )
         .select("*", F.expr("pmod(h, buckets)").alias("bucket"))
     )
     order = Window.partitionBy("source", "size", "bucket").orderBy("h", "doc_id")
-    ranked = keyed.select("*", F.rank().over(order).alias("rank"))
+    # rows that tie here are equal in all that is returned
+    ranked = keyed.select("*", F.row_number().over(order).alias("rank"))
     before = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         keyed.where("buckets > 1")
@@ -181,18 +181,18 @@ def dealt(sized: DataFrame, groups: DataFrame, deal: int = DEAL) -> DataFrame:
         ranked.alias("r")
         .join(offsets.alias("o"), F.expr("r.source <=> o.source AND r.size = o.size AND r.bucket = o.bucket"), "left")
         .select(
-            "doc_id", "r.source", "r.size", "source_size", "target",
+            "doc_id", "r.source", "r.size", "h", "source_size", "target",
             (F.col("each") + F.when(F.col("rank") + F.coalesce("offset", F.lit(0)) <= F.col("rest"), 1).otherwise(0)).cast("long").alias("copies"),
         )
     )
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, percent: int = TOTAL_PERCENT, cap: int = CAP) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) for each row of ``docs`` (doc_id, source, text).
+    """(doc_id, source, size, h, source_size, target, copies) for each row of ``docs`` (doc_id, source, text).
 
-    A null source is a source, the last; a null or empty text has size 0 and gets no copy; rows
-    with the same doc_id, source and size are taken alike; other columns are ignored; an empty
-    table gives an empty table.
+    A null source is a source, the last; a null or empty text has size 0 and gets no copy; each
+    row counts, so of repeated rows (null ids or not) some may be taken once more than others; h is a hash of
+    the row; other columns are ignored; an empty table gives an empty table.
     """
     sized = checkpointed(sizes(docs))
     histogram = checkpointed(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
@@ -210,9 +210,16 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, percent: int = TOTAL_PERCENT,
 
 
 def repeated(docs: DataFrame, weights=WEIGHTS, percent: int = TOTAL_PERCENT, cap: int = CAP) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
-    copies = mixed(docs, weights, percent, cap).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).where("copies > 0")
+    """The rows of ``docs``, each as often as the mix takes it.
+
+    Rows that share doc_id, source and text share their copies as evenly as whole copies can.  Nulls, empty texts and
+    empty tables are as in ``mixed``; other columns go along, whatever their names.
+    """
+    copies = mixed(docs, weights, percent, cap).groupBy("h", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "source", words.alias("size"))
-    both = row.alias("r").join(copies.alias("c"), F.expr("r.doc_id <=> c.doc_id AND r.source <=> c.source AND r.size = c.size"))
-    return both.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.xxhash64("doc_id", "source", "text").alias("h"), words.alias("size"))
+    both = row.join(copies, ["h", "size"])
+    place = F.row_number().over(Window.partitionBy("h", "size").orderBy(F.xxhash64("_row")))
+    own = F.floor(F.col("copies") / F.col("rows")) + F.when(place <= F.expr("copies % rows"), 1).otherwise(0)
+    taken = both.select("_row", own.cast("int").alias("own")).where("own > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("own")))).select("_row.*")

@@ -77,6 +77,41 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     assert minhash.deduplicated(odd).count() == 5
 
 
+def test_large_group_of_near_copies(spark):
+    """Near copies whose pairs lie on both sides of the threshold, in one task and in many blocks."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for k in range(160):
+        w = list(base)
+        for at in rng.choice(120, rng.integers(0, 14), replace=False):
+            w[at] = f"x{k}_{at}"
+        texts.append(" ".join(w))
+    sets = [shingles(t, 2) for t in texts]
+    root = list(range(160))
+    for i in range(160):
+        for j in range(i):
+            c = len(sets[i] & sets[j])
+            if 100 * c >= 80 * (len(sets[i]) + len(sets[j]) - c):
+                p, q = root[i], root[j]
+                root = [min(p, q) if r in (p, q) else r for r in root]
+    assert 1 < len(set(root)) < 160
+    d = spark.createDataFrame([(str(1000 + k), t) for k, t in enumerate(texts)], "doc_id string, text string")
+    for options in ({}, {"block": 700, "rounds": 0}):
+        found = {int(r.doc_id) - 1000: int(r.component_id) - 1000 for r in minhash.near_duplicates(d, shingle=2, **options).collect()}
+        assert [found[k] for k in range(160)] == root
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    one, other = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(1, one, "x"), (1, other, "y"), (2, one + " z", "z"), (None, other, "n"), (None, "c d e f g h", "m"), (None, "c d e f g h", "m"), (3, "", "e"), (3, "", "e"), (None, None, "0")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, at string")
+    kept = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in minhash.deduplicated(d).collect())
+    assert kept == sorted([(False, 1, one), (False, 1, other), (True, 0, "c d e f g h"), (False, 3, ""), (True, 0, "")])
+    found = minhash.near_duplicates(d).collect()
+    assert Counter(r.component_id for r in found) == {1: 4, None: 3, 3: 2}
+
+
 def test_lm_scores_against_counts(docs, rows):
     texts = {r.doc_id: words(r.text) for r in rows}
     c = Counter(tuple(w[i : i + n]) for w in texts.values() for n in (1, 2, 3) for i in range(len(w) - n + 1))
@@ -370,6 +405,52 @@ def test_mix_of_odd_rows(odd, empty):
     assert mixing.repeated(odd).columns == odd.columns
 
 
+def repeats(spark, n=200):
+    """Rows that repeat: one id, null ids, and texts of one size."""
+    text = " ".join(f"w{i}" for i in range(20))
+    rows = [(7, text, "a")] * n + [(None, text, "a")] * n + [(1000 + i, text, "b") for i in range(n)] + [(None, None, None), (5000, "", "b")]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+
+def test_mix_meets_targets_with_repeated_rows(spark):
+    d = repeats(spark)
+    found = mixing.mix_sources(d).collect()
+    taken, sizes = Counter(), {"a": 8000, "b": 4000, None: 0}
+    for r in found:
+        source = next(s for s, n in sizes.items() if n == r.source_size)
+        taken[source] += r.taken
+        assert r.taken <= 2 * r["size"] and r.target == pytest.approx(filled(sizes)[source])
+    for s in sizes:
+        assert abs(taken[s] - filled(sizes)[s]) < 20
+    out = mixing.repeated(d.withColumn("h", mixing.F.lit("x"))).groupBy("source").count().collect()
+    assert {r.source: r["count"] * 20 for r in out} == {s: t for s, t in taken.items() if t}
+
+
+def test_importance_keeps_exactly_k(spark):
+    d = repeats(spark)
+    labels = spark.createDataFrame([(7, 1)], "doc_id long, quality int")
+    n = d.count()
+    for fraction in (0.0, 0.1, 0.5, 1.0):
+        assert importance.importance_resample(d, labels, fraction).where("kept").count() == round(fraction * n)
+
+
+def test_importance_against_brute_force(spark, docs, rows):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    bags = {r.doc_id: list(importance._bags([r.text], 997, 2))[0] for r in rows}
+    raw, wanted = np.ones(997), np.ones(997)
+    for d, bag in bags.items():
+        for b in bag:
+            raw[b] += 1
+            wanted[b] += d in good
+    ratio = np.log(wanted / wanted.sum()) - np.log(raw / raw.sum())
+    found = importance.importance_resample(docs, labels, 0.25, buckets=997).collect()
+    for r in found:
+        assert r.n_grams == len(bags[r.doc_id]) and r.log_importance == pytest.approx(sum(ratio[b] for b in bags[r.doc_id]), rel=1e-9, abs=1e-9)
+    order = sorted(found, key=lambda r: -r.gumbel_key)
+    assert {r.doc_id for r in found if r.kept} == {r.doc_id for r in order[: round(0.25 * len(found))]}
+
+
 def test_native_plans_run_no_python(docs):
     for df in (quality_rules.quality_rules(docs), mixing.mix_sources(docs)):
         plan = df._jdf.queryExecution().executedPlan().toString()
