@@ -98,8 +98,9 @@ def importance_resample(
     ``docs``.  The share ``fraction`` of rows with the largest keys is kept, by default the share
     of labelled rows that are good.  A text without words, null or empty, has importance 0 in
     logarithms, as any text has under equal models; rows with the same doc_id and text have the
-    same key and ties with the last kept row are kept; without good labels all importances are 0;
-    other columns are ignored; an empty table gives an empty table.
+    same key; of rows that tie for the last place only so many are kept that the share is met exactly; without good
+    labels all importances are 0; other columns are ignored; an empty table gives an empty table.
+    Importances are sums over n-grams, so long texts outweigh the Gumbel noise, as the method has it.
     """
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
     target = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_rows)
@@ -118,7 +119,12 @@ def importance_resample(
         ordinal = np.where(bits < 0, bits ^ np.int64((1 << 63) - 1), bits)
         return pd.DataFrame({"n_grams": [len(b) for b in bags], "log_importance": logs, "gumbel_key": keys, "ordinal": ordinal})
 
-    scored = checkpointed(docs.select("doc_id", score("text", F.xxhash64("doc_id", F.lit(seed))).alias("_s")).select("doc_id", "_s.*"))
-    last = kth_largest(scored, "ordinal", round(fraction * scored.count()))
-    kept = F.lit(False) if last is None else F.col("ordinal") >= F.lit(last)
+    scored = checkpointed(docs.select("doc_id", score("text", F.xxhash64("doc_id", "text", F.lit(seed))).alias("_s")).select("doc_id", "_s.*", F.monotonically_increasing_id().alias("row")))
+    k = round(fraction * scored.count())
+    last = kth_largest(scored, "ordinal", k)
+    kept = F.lit(False)
+    if last is not None:
+        k -= scored.where(F.col("ordinal") > F.lit(last)).count()
+        least = kth_largest(scored.where(F.col("ordinal") == F.lit(last)), "row", k)
+        kept = (F.col("ordinal") > F.lit(last)) | ((F.col("ordinal") == F.lit(last)) & (F.col("row") >= F.lit(least)))
     return scored.select("doc_id", "n_grams", "log_importance", "gumbel_key", kept.alias("kept"))
