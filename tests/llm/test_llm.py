@@ -244,7 +244,7 @@ def test_each_page_decides_its_layout(spark):
 
 
 def test_deep_pages_and_doubtful_classes(spark):
-    deep = lambda n: "<article>" + "".join(f"<div>d{k}-{n} " for k in range(5000)) + f"bottom {n}" + "</div>after" * 5000 + "</article>"
+    deep = lambda n: "<article>" + "".join(f"<div>d{k}-{n} " for k in range(5000)) + f"bottom {n}" + "</div>after" * 4999 + f"</div>after{n}</article>"
     html = '<article><p>Story {n}.</p><div class="search-engines">How search works {n}</div><div class="social">Society {n}</div><div class="share">Share this</div><p class="css-{h}">Hashed {n}</p></article>'
     rows = [(n, "http://h.example/", html.format(n=n, h="abcdef"[n] * 5), "z") for n in range(6)] + [(10 + n, "http://deep.example/", deep(n), "z") for n in range(3)]
     rows += [(20, "http://h.example/", "", "z"), (20, "http://h.example/", "", "z"), (21, "http://long.example/", "<p>" + "word " * 200_000, "z")]
@@ -253,7 +253,7 @@ def test_deep_pages_and_doubtful_classes(spark):
     for n in range(6):
         assert found[n] == f"Story {n}. How search works {n} Society {n} Hashed {n}"
     for n in range(3):
-        assert found[10 + n] == " ".join([*(f"d{k}-{n}" for k in range(5000)), f"bottom {n}", *["after"] * 5000])
+        assert found[10 + n] == " ".join([*(f"d{k}-{n}" for k in range(5000)), f"bottom {n}", *["after"] * 4999, f"after{n}"])
     assert found[20] == "" and found[21] == "word " * 199_999 + "word"
     assert wrapper.extract_main_text(pages).count() == len(rows) and wrapper.extract_main_text(pages.where("false")).count() == 0
 
