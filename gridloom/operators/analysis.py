@@ -87,12 +87,14 @@ def structure_analysis(r: Raster, scales=(1, 2, 4, 8), feature: str = "energy",
     return per_image_rows(kernel, "x double, y double", r)
 
 
-def _corner(measure, halo: int = 24):
+def _corner(measure):
     def run(r: Raster, gradient_sigma: float = 1.0, tensor_sigma: float = 2.0, **options) -> Raster:
         def kernel(a):
             t = _tensor(a, [gradient_sigma] * 2, [tensor_sigma] * 2)
             return measure(t[0][0], t[0][1], t[1][1], **options)
 
+        # beyond the reach of both kernels a tile sees nothing of its edge
+        halo = math.ceil(4 * gradient_sigma) + math.ceil(4 * tensor_sigma) + 2
         return per_tile(kernel, r, halo)
 
     run.__doc__ = measure.__doc__
@@ -350,35 +352,34 @@ def orientation_space(r: Raster, order: int = 8, centre: float = 0.1, bandwidth:
 # --- spatial statistics ---------------------------------------------------------------------------
 
 
-def semivariogram(r: Raster, length: int = 20) -> DataFrame:
-    """(image_id, x, y): mean of half the squared difference at each distance, over all pairs along the axes."""
+def _at_distances(r: Raster, first: int, length: int) -> DataFrame:
+    """(image_id, x, a, b): each pixel's value with those at distances first..length along each axis, one window a dimension."""
     rows = None
     for d in r.dims:
-        for h in range(1, length + 1):
-            w = Window.partitionBy(ID, *[k for k in r.dims if k != d]).orderBy(d)
-            gap = F.col(r.value) - F.lag(F.col(r.value), h).over(w)
-            one = r.df.select(ID, F.lit(h).alias("x"), (0.5 * gap * gap).alias("g")).where("g IS NOT NULL")
-            rows = one if rows is None else rows.union(one)
-    return rows.groupBy(ID, "x").agg(F.avg("g").alias("y"))
+        ahead = Window.partitionBy(ID, *[k for k in r.dims if k != d]).orderBy(d).rowsBetween(first, length)
+        one = r.df.select(ID, F.col(r.value).alias("a"), F.collect_list(r.value).over(ahead).alias("near")).select(ID, "a", F.posexplode("near").alias("x", "b"))
+        rows = one if rows is None else rows.union(one)
+    return rows.select(ID, (F.col("x") + first).alias("x"), "a", "b")
 
 
-def pair_correlation(r: Raster, length: int = 20, probabilistic: bool = False) -> DataFrame:
+def semivariogram(r: Raster, length: int = 100) -> DataFrame:
+    """(image_id, x, y): mean of half the squared difference at each distance, over all pairs along the axes."""
+    gap = F.col("a") - F.col("b")
+    return _at_distances(r, 1, length).groupBy(ID, "x").agg(F.avg(0.5 * gap * gap).alias("y"))
+
+
+def pair_correlation(r: Raster, length: int = 100, probabilistic: bool = False) -> DataFrame:
     """(image_id, x, phase, v): chance that a pixel at a distance along an axis has the same phase as one of it.
 
     Probabilistic phases are memberships in 0..1, whose products are averaged.
     """
-    rows = None
-    for d in r.dims:
-        w = Window.partitionBy(ID, *[k for k in r.dims if k != d]).orderBy(d)
-        for h in range(0, length + 1):
-            one = r.df.select(ID, F.lit(h).alias("x"), F.col(r.value).alias("a"), F.lead(F.col(r.value), h).over(w).alias("b")).where("b IS NOT NULL")
-            rows = one if rows is None else rows.union(one)
+    rows = _at_distances(r, 0, length)
     if probabilistic:
         return rows.groupBy(ID, "x").agg(F.avg(F.col("a") * F.col("b")).alias("v")).select(ID, "x", F.lit(1).alias("phase"), "v")
     return rows.groupBy(ID, "x", F.col("a").cast("long").alias("phase")).agg(F.avg((F.col("a") == F.col("b")).cast("double")).alias("v"))
 
 
-def probabilistic_pair_correlation(r: Raster, length: int = 20) -> DataFrame:
+def probabilistic_pair_correlation(r: Raster, length: int = 100) -> DataFrame:
     return pair_correlation(r, length, True)
 
 
@@ -399,7 +400,7 @@ def chord_length(r: Raster, over: list[str] | None = None) -> DataFrame:
     return rows.groupBy(ID, "phase", "x").count()
 
 
-def distance_distribution(region: Raster, labels: Raster, length: int = 20) -> DataFrame:
+def distance_distribution(region: Raster, labels: Raster, length: int = 100) -> DataFrame:
     """(image_id, label, x, v): share of each label's pixels at each distance from the region's background."""
     from .distance import euclidean_distance_transform
 

@@ -277,7 +277,7 @@ def _directed(a: Raster, b: Raster) -> DataFrame:
 
     out = None
     for side, (one, two) in enumerate(((a, b), (b, a))):
-        far = euclidean_distance_transform(two.map((F.col(two.value) == 0).cast("double")))
+        far = euclidean_distance_transform(two.map((F.col(two.value) == 0).cast("double")), "object")
         rows = zipped(one, far)[0].where("v0 <> 0").select(ID, F.lit(side).alias("side"), F.col("v1").alias("d"))
         out = rows if out is None else out.union(rows)
     return out
@@ -301,7 +301,7 @@ def complement_weighted_sum_of_minimal_distances(a: Raster, b: Raster) -> DataFr
 
     out = None
     for one, two in ((a, b), (b, a)):
-        far = euclidean_distance_transform(two.map((F.col(two.value) == 0).cast("double")))
+        far = euclidean_distance_transform(two.map((F.col(two.value) == 0).cast("double")), "object")
         deep = euclidean_distance_transform(one)
         rows = zipped(one, far, deep)[0].where("v0 <> 0").groupBy(ID).agg(divided(F.sum(F.expr("v1 * v2")), F.sum("v2")).alias("d"))
         out = rows if out is None else out.union(rows)

@@ -10,10 +10,16 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` in the shared checkpoint folder, which the cluster names in spark.checkpoint.dir."""
+    """``df`` in the shared checkpoint folder, which the cluster names in spark.checkpoint.dir.
+
+    A temporary folder stands in on a local master alone; elsewhere executors could not read it back.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="gridloom-"))
     return df.checkpoint()
 
 
@@ -23,16 +29,19 @@ def fingerprint(df: DataFrame) -> tuple:
 
 
 def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int = 1000) -> DataFrame:
-    """Applies ``step`` until the contents stay the same; lineage is cut in each round."""
+    """Applies ``step`` until the contents stay the same; lineage is cut in each round.
+
+    An unfinished result is never returned: if ``rounds`` don't suffice, it raises.
+    """
     current = checkpointed(start)
     seen = fingerprint(current)
     for _ in range(rounds):
         current = checkpointed(step(current))
         now = fingerprint(current)
         if now == seen:
-            break
+            return current
         seen = now
-    return current
+    raise RuntimeError(f"not settled after {rounds} rounds")
 
 
 def components(edges: DataFrame) -> DataFrame:
