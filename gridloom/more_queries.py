@@ -19,11 +19,10 @@ from .sources import tables as S
 
 # --- pixels --------------------------------------------------------------------------------------
 
-v = F.col("v")
 _POINT = {
     "px_divide": (lambda r: pointwise.divide(r, 8.0), "v / 8"),
     "px_multiply_sample": (lambda r: pointwise.multiply_sample_wise(r, 3.0), "v * 3"),
-    "px_invert": (lambda r: pointwise.invert(r.map(v % 256), "UINT8"), "255 - v % 256"),
+    "px_invert": (lambda r: pointwise.invert(r.map(F.col("v") % 256), "UINT8"), "255 - v % 256"),
     "px_not": (lambda r: pointwise.not_(pointwise.greater(r, 300.0)), "CASE WHEN v > 300 THEN 0 ELSE 1 END"),
     "px_not_bits": (lambda r: pointwise.not_(r, binary=False), "~CAST(v AS BIGINT)"),
     "px_equal": (lambda r: pointwise.equal(r, 250.0), "CASE WHEN v = 250 THEN 1 ELSE 0 END"),
@@ -35,47 +34,47 @@ _POINT = {
     "px_fill_masked": (lambda r: pointwise.fill(r, 4.0, pointwise.greater(r, 300.0)), "CASE WHEN v > 300 THEN 4 ELSE v END"),
     "px_masked": (lambda r: pointwise.masked(r, pointwise.greater(r, 300.0)), "CASE WHEN v > 300 THEN v ELSE 0 END"),
     "px_convert_uint8": (lambda r: pointwise.convert(r, "UINT8"), "least(v, 255)"),
-    "px_convert_sint8": (lambda r: pointwise.convert(r.map(-v), "SINT8"), "greatest(-v, -128)"),
+    "px_convert_sint8": (lambda r: pointwise.convert(r.map(-F.col("v")), "SINT8"), "greatest(-v, -128)"),
     "px_clip_low": (lambda r: display.clip_low(r, 200.0), "greatest(v, 200)"),
     "px_clip_high": (lambda r: display.clip_high(r, 200.0), "least(v, 200)"),
-    "px_abs": (lambda r: r.map(F.abs(v - 250)), "abs(v - 250)"),
-    "px_ceil": (lambda r: r.map(F.ceil(v / 7).cast("double")), "ceil(v / 7)"),
-    "px_floor": (lambda r: r.map(F.floor(v / 7).cast("double")), "floor(v / 7)"),
-    "px_trunc": (lambda r: r.map(M.truncated((v - 250) / 7)), "trunc((v - 250) / 7)"),
-    "px_fraction": (lambda r: r.map(M.fraction((v - 250) / 8)), "(v - 250) / 8 - trunc((v - 250) / 8)"),
-    "px_reciprocal": (lambda r: r.map(M.reciprocal(v)), "CASE WHEN v = 0 THEN 0 ELSE 1 / v END"),
-    "px_square": (lambda r: r.map(M.square(v)), "v * v"),
-    "px_sqrt": (lambda r: r.map(F.sqrt(v)), "sqrt(v)"),
-    "px_cbrt": (lambda r: r.map(F.cbrt(v)), "cbrt(v)"),
-    "px_exp2": (lambda r: r.map(M.exp2(v / 100)), "power(2, v / 100)"),
-    "px_exp10": (lambda r: r.map(M.exp10(-v / 100)), "power(10, -v / 100)"),
-    "px_ln": (lambda r: r.map(M.ln(v + 1)), "ln(v + 1)"),
-    "px_log10": (lambda r: r.map(M.log10(v + 1)), "log10(v + 1)"),
-    "px_sin": (lambda r: r.map(F.sin(v)), "sin(v)"),
-    "px_cos": (lambda r: r.map(F.cos(v)), "cos(v)"),
-    "px_tan": (lambda r: r.map(F.tan(v / 1000)), "tan(v / 1000)"),
-    "px_asin": (lambda r: r.map(F.asin(v / 10000)), "asin(v / 10000)"),
-    "px_acos": (lambda r: r.map(F.acos(v / 10000)), "acos(v / 10000)"),
-    "px_atan": (lambda r: r.map(F.atan(v / 100)), "atan(v / 100)"),
-    "px_sinh": (lambda r: r.map(F.sinh(v / 1000)), "sinh(v / 1000)"),
-    "px_cosh": (lambda r: r.map(F.cosh(v / 1000)), "cosh(v / 1000)"),
-    "px_tanh": (lambda r: r.map(F.tanh(v / 1000)), "tanh(v / 1000)"),
-    "px_sign": (lambda r: r.map(M.sign(v - 250)), "sign(v - 250)"),
-    "px_hypot": (lambda r: r.map(F.hypot(v, F.lit(3.0))), "sqrt(v * v + 9)"),
-    "px_nearest_int": (lambda r: r.map(M.nearest_int(v / 7)), "round(v / 7)"),
-    "px_positive_modulo": (lambda r: r.map(M.positive_modulo(v - 250, F.lit(7.0))), "((v - 250) % 7 + 7) % 7"),
-    "px_div_ceil": (lambda r: r.map(M.div_ceil(v, 7)), "ceil(v / 7)"),
-    "px_div_floor": (lambda r: r.map(M.div_floor(v, 7)), "floor(v / 7)"),
-    "px_div_round": (lambda r: r.map(M.div_round(v, 7)), "floor(v / 7 + 0.5)"),
-    "px_clamp": (lambda r: r.map(M.clamp(v, 100.0, 300.0)), "least(greatest(v, 100), 300)"),
-    "px_flush_to_zero": (lambda r: r.map(M.flush_to_zero(v)), "v"),
-    "px_approximately_equal": (lambda r: r.map(M.approximately_equal(v, F.lit(250.0), 0.01).cast("double")), "CASE WHEN abs(v - 250) <= greatest(v, 250) * 0.01 THEN 1 ELSE 0 END"),
-    "px_complex_modulus": (lambda r: r.map(M.modulus(M.complex_(v, v + 1))), "sqrt(v * v + (v + 1) * (v + 1))"),
-    "px_complex_square_modulus": (lambda r: r.map(M.square_modulus(M.complex_(v, 2.0))), "v * v + 4"),
-    "px_complex_phase": (lambda r: r.map(M.phase(M.complex_(v, 50.0))), "atan2(50, v)"),
-    "px_complex_multiply": (lambda r: r.map(M.imaginary(M.c_mul(M.complex_(v, 1.0), M.complex_(2.0, v)))), "v * v + 2"),
-    "px_complex_divide": (lambda r: r.map(M.real(M.c_div(M.complex_(v, 1.0), M.complex_(3.0, 4.0)))), "(3 * v + 4) / 25"),
-    "px_complex_conjugate": (lambda r: r.map(M.imaginary(M.conjugate(M.complex_(1.0, v)))), "-v"),
+    "px_abs": (lambda r: r.map(F.abs(F.col("v") - 250)), "abs(v - 250)"),
+    "px_ceil": (lambda r: r.map(F.ceil(F.col("v") / 7).cast("double")), "ceil(v / 7)"),
+    "px_floor": (lambda r: r.map(F.floor(F.col("v") / 7).cast("double")), "floor(v / 7)"),
+    "px_trunc": (lambda r: r.map(M.truncated((F.col("v") - 250) / 7)), "trunc((v - 250) / 7)"),
+    "px_fraction": (lambda r: r.map(M.fraction((F.col("v") - 250) / 8)), "(v - 250) / 8 - trunc((v - 250) / 8)"),
+    "px_reciprocal": (lambda r: r.map(M.reciprocal(F.col("v"))), "CASE WHEN v = 0 THEN 0 ELSE 1 / v END"),
+    "px_square": (lambda r: r.map(M.square(F.col("v"))), "v * v"),
+    "px_sqrt": (lambda r: r.map(F.sqrt(F.col("v"))), "sqrt(v)"),
+    "px_cbrt": (lambda r: r.map(F.cbrt(F.col("v"))), "cbrt(v)"),
+    "px_exp2": (lambda r: r.map(M.exp2(F.col("v") / 100)), "power(2, v / 100)"),
+    "px_exp10": (lambda r: r.map(M.exp10(-F.col("v") / 100)), "power(10, -v / 100)"),
+    "px_ln": (lambda r: r.map(M.ln(F.col("v") + 1)), "ln(v + 1)"),
+    "px_log10": (lambda r: r.map(M.log10(F.col("v") + 1)), "log10(v + 1)"),
+    "px_sin": (lambda r: r.map(F.sin(F.col("v"))), "sin(v)"),
+    "px_cos": (lambda r: r.map(F.cos(F.col("v"))), "cos(v)"),
+    "px_tan": (lambda r: r.map(F.tan(F.col("v") / 1000)), "tan(v / 1000)"),
+    "px_asin": (lambda r: r.map(F.asin(F.col("v") / 10000)), "asin(v / 10000)"),
+    "px_acos": (lambda r: r.map(F.acos(F.col("v") / 10000)), "acos(v / 10000)"),
+    "px_atan": (lambda r: r.map(F.atan(F.col("v") / 100)), "atan(v / 100)"),
+    "px_sinh": (lambda r: r.map(F.sinh(F.col("v") / 1000)), "sinh(v / 1000)"),
+    "px_cosh": (lambda r: r.map(F.cosh(F.col("v") / 1000)), "cosh(v / 1000)"),
+    "px_tanh": (lambda r: r.map(F.tanh(F.col("v") / 1000)), "tanh(v / 1000)"),
+    "px_sign": (lambda r: r.map(M.sign(F.col("v") - 250)), "sign(v - 250)"),
+    "px_hypot": (lambda r: r.map(F.hypot(F.col("v"), F.lit(3.0))), "sqrt(v * v + 9)"),
+    "px_nearest_int": (lambda r: r.map(M.nearest_int(F.col("v") / 7)), "round(v / 7)"),
+    "px_positive_modulo": (lambda r: r.map(M.positive_modulo(F.col("v") - 250, F.lit(7.0))), "((v - 250) % 7 + 7) % 7"),
+    "px_div_ceil": (lambda r: r.map(M.div_ceil(F.col("v"), 7)), "ceil(v / 7)"),
+    "px_div_floor": (lambda r: r.map(M.div_floor(F.col("v"), 7)), "floor(v / 7)"),
+    "px_div_round": (lambda r: r.map(M.div_round(F.col("v"), 7)), "floor(v / 7 + 0.5)"),
+    "px_clamp": (lambda r: r.map(M.clamp(F.col("v"), 100.0, 300.0)), "least(greatest(v, 100), 300)"),
+    "px_flush_to_zero": (lambda r: r.map(M.flush_to_zero(F.col("v"))), "v"),
+    "px_approximately_equal": (lambda r: r.map(M.approximately_equal(F.col("v"), F.lit(250.0), 0.01).cast("double")), "CASE WHEN abs(v - 250) <= greatest(v, 250) * 0.01 THEN 1 ELSE 0 END"),
+    "px_complex_modulus": (lambda r: r.map(M.modulus(M.complex_(F.col("v"), F.col("v") + 1))), "sqrt(v * v + (v + 1) * (v + 1))"),
+    "px_complex_square_modulus": (lambda r: r.map(M.square_modulus(M.complex_(F.col("v"), 2.0))), "v * v + 4"),
+    "px_complex_phase": (lambda r: r.map(M.phase(M.complex_(F.col("v"), 50.0))), "atan2(50, v)"),
+    "px_complex_multiply": (lambda r: r.map(M.imaginary(M.c_mul(M.complex_(F.col("v"), 1.0), M.complex_(2.0, F.col("v"))))), "v * v + 2"),
+    "px_complex_divide": (lambda r: r.map(M.real(M.c_div(M.complex_(F.col("v"), 1.0), M.complex_(3.0, 4.0)))), "(3 * v + 4) / 25"),
+    "px_complex_conjugate": (lambda r: r.map(M.imaginary(M.conjugate(M.complex_(1.0, F.col("v"))))), "-v"),
     "px_apply_window_hamming": (lambda r: generators.apply_window(r, "Hamming"), "v * (0.54 - 0.46 * cos(2 * pi() * x / 63)) * (0.54 - 0.46 * cos(2 * pi() * y / 63))"),
     "px_apply_window_hann": (lambda r: generators.apply_window(r, "Hann"), "v * (0.5 - 0.5 * cos(2 * pi() * x / 63)) * (0.5 - 0.5 * cos(2 * pi() * y / 63))"),
     "px_draw_box": (lambda r: generators.draw_box(r, (10, 20), (30, 25), 7.0), "CASE WHEN abs(x - 30) <= 5 AND abs(y - 25) <= 10 THEN 7 ELSE v END"),
@@ -84,7 +83,7 @@ _POINT = {
     "px_draw_line": (lambda r: generators.draw_line(r, (5, 9), (45, 49), 7.0), "CASE WHEN y = x + 4 AND x BETWEEN 5 AND 45 THEN 7 ELSE v END"),
     "px_draw_polygon": (lambda r: generators.draw_polygon_2d(r, [(5, 5), (40, 5), (40, 30), (5, 30)], 7.0, "closed"), "CASE WHEN x IN (5, 40) AND y BETWEEN 5 AND 30 OR y IN (5, 30) AND x BETWEEN 5 AND 40 THEN 7 ELSE v END"),
     "px_draw_bandlimited_point": (lambda r: generators.draw_bandlimited_point(r, (30.5, 25.0), 7.0, 2.0), "v + CASE WHEN (power(x - 30.5, 2) + power(y - 25, 2)) / 4 <= 9 THEN 7 / (2 * pi() * 4) * exp(-(power(x - 30.5, 2) + power(y - 25, 2)) / 8) ELSE 0 END"),
-    "px_line_clip": (lambda r: generators.gaussian_line_clip(r.map((v - 250) / 100)), "CASE WHEN abs(v - 250) > 300 THEN 0 ELSE exp(-0.5 * power((v - 250) / 100, 2)) / sqrt(2 * pi()) END"),
+    "px_line_clip": (lambda r: generators.gaussian_line_clip(r.map((F.col("v") - 250) / 100)), "CASE WHEN abs(v - 250) > 300 THEN 0 ELSE exp(-0.5 * power((v - 250) / 100, 2)) / sqrt(2 * pi()) END"),
 }
 for _name, (_run, _sql) in _POINT.items():
     query(_name, _pixel(_sql))(_point(_run))
@@ -94,8 +93,8 @@ _TWO = {
     "px_signed_infimum": (lambda a, b: pointwise.signed_infimum(a, b), "CASE WHEN q.v < p.v THEN -q.v ELSE p.v END"),
     "px_linear_combination": (lambda a, b: pointwise.linear_combination(a, b, 0.25, -2.0), "0.25 * p.v - 2 * q.v"),
     "px_alpha_blend": (lambda a, b: pointwise.alpha_blend(a, b, 0.25), "0.25 * q.v + 0.75 * p.v"),
-    "px_alpha_mask": (lambda a, b: pointwise.alpha_mask(a, b.map(v / 1000), 9.0), "9 * q.v / 1000 + p.v * (1 - q.v / 1000)"),
-    "px_toggle": (lambda a, b: pointwise.toggle(a, b, b.map(v * 2)), "CASE WHEN abs(p.v - 2 * q.v) < abs(p.v - q.v) THEN 2 * q.v ELSE q.v END"),
+    "px_alpha_mask": (lambda a, b: pointwise.alpha_mask(a, b.map(F.col("v") / 1000), 9.0), "9 * q.v / 1000 + p.v * (1 - q.v / 1000)"),
+    "px_toggle": (lambda a, b: pointwise.toggle(a, b, b.map(F.col("v") * 2)), "CASE WHEN abs(p.v - 2 * q.v) < abs(p.v - q.v) THEN 2 * q.v ELSE q.v END"),
     "px_select_by_mask": (lambda a, b: pointwise.select_by_mask(pointwise.greater(a, 300.0), a, b), "CASE WHEN p.v > 300 THEN p.v ELSE q.v END"),
     "px_add_images": (lambda a, b: pointwise.add(a, b), "p.v + q.v"),
     "px_subtract_images": (lambda a, b: pointwise.subtract(a, b), "p.v - q.v"),
@@ -154,7 +153,7 @@ def proj_median(spark, d):
 
 @query("proj_product", f"WITH {IMG} SELECT round(exp(sum(ln(1 + v / 100000))), 6) AS v FROM img")
 def proj_product(spark, d):
-    return _flat(projection.product(_img(spark, d).map(1 + v / 100000)), "v")
+    return _flat(projection.product(_img(spark, d).map(1 + F.col("v") / 100000)), "v")
 
 
 @query("stat_max_min", f"WITH {STACK} SELECT image_id, max(v) AS maximum, min(v) AS minimum FROM stack GROUP BY image_id")
@@ -175,7 +174,7 @@ def stat_count(spark, d):
 
 for _name, _run, _test in (("nan", statistics.contains_nan, "isnan(w)"), ("infinity", statistics.contains_infinity, "isinf(w)"), ("non_finite", statistics.contains_non_finite, "NOT isfinite(w)")):
     query(f"stat_contains_{_name}", f"WITH {STACK}, w AS (SELECT image_id, CASE WHEN image_id = 2 AND v > 50 THEN 'NaN'::DOUBLE WHEN image_id = 3 AND v > 50 THEN 'Infinity'::DOUBLE ELSE v END AS w FROM stack) SELECT image_id, CASE WHEN bool_or({_test}) THEN 1 ELSE 0 END AS v FROM w GROUP BY image_id")(
-        (lambda run: lambda spark, d: run(S.lineitem_stack(spark, d).map(F.when((F.col(ID) == 2) & (v > 50), float("nan")).when((F.col(ID) == 3) & (v > 50), float("inf")).otherwise(v))).select(ID, F.col("v").cast("int").alias("v")))(_run)
+        (lambda run: lambda spark, d: run(S.lineitem_stack(spark, d).map(F.when((F.col(ID) == 2) & (F.col("v") > 50), float("nan")).when((F.col(ID) == 3) & (F.col("v") > 50), float("inf")).otherwise(F.col("v")))).select(ID, F.col("v").cast("int").alias("v")))(_run)
     )
 
 
@@ -355,7 +354,7 @@ _COLOURS = {
 
 def _rgb(spark, d):
     a, b = S.orders_pair(spark, d)
-    return geometry.join_channels(a.map(F.least(v * 10, F.lit(255.0))), b.map(v % 256), a.map(F.col("x") * 4.0))
+    return geometry.join_channels(a.map(F.least(F.col("v") * 10, F.lit(255.0))), b.map(F.col("v") % 256), a.map(F.col("x") * 4.0))
 
 
 def _channels(r):
@@ -364,11 +363,11 @@ def _channels(r):
 
 for _space, (_with, _c0, _c1, _c2, _from) in _COLOURS.items():
     query(f"col_rgb2{_space}", f"WITH {_with} SELECT x, y, round(CAST({_c0} AS DOUBLE), 5) AS c0, round(CAST({_c1} AS DOUBLE), 5) AS c1, round(CAST({_c2} AS DOUBLE), 5) AS c2 FROM {_from}")(
-        (lambda s: lambda spark, d: _channels(_rgb(spark, d).map(spaces.convert(v, "rgb", s))))(_space)
+        (lambda s: lambda spark, d: _channels(_rgb(spark, d).map(spaces.convert(F.col("v"), "rgb", s))))(_space)
     )
 for _space in ("xyz", "cmy", "cmyk", "yxy", "ich", "ish", "hcv", "hsv", "hsi", "srgb", "lab", "luv", "lch", "oklab", "oklch", "ypbpr", "ycbcr"):
     query(f"col_{_space}_and_back", f"WITH {_RGB} SELECT x, y, round(CAST(r AS DOUBLE), 3) AS c0, round(CAST(g AS DOUBLE), 3) AS c1, round(CAST(b AS DOUBLE), 3) AS c2 FROM rgb")(
-        (lambda s: lambda spark, d: _rgb(spark, d).map(spaces.convert(spaces.convert(v, "rgb", s), s, "rgb")).df.select("x", "y", *[(F.round(F.col("v")[k], 3) + 0.0).alias(f"c{k}") for k in range(3)]))(_space)
+        (lambda s: lambda spark, d: _rgb(spark, d).map(spaces.convert(spaces.convert(F.col("v"), "rgb", s), s, "rgb")).df.select("x", "y", *[(F.round(F.col("v")[k], 3) + 0.0).alias(f"c{k}") for k in range(3)]))(_space)
     )
 
 # --- generators -------------------------------------------------------------------------------------------
@@ -465,4 +464,4 @@ def dst_pair_correlation(spark, d):
 
 @query("dst_probabilistic_pair_correlation", f"WITH {IMG}, w AS (SELECT x, y, v / 10000 AS v FROM img), p AS (SELECT CAST(q.x - p.x AS INTEGER) AS x, p.v * q.v AS v FROM w p JOIN w q ON q.y = p.y AND q.x >= p.x UNION ALL SELECT CAST(q.y - p.y AS INTEGER), p.v * q.v FROM w p JOIN w q ON q.x = p.x AND q.y >= p.y) SELECT x, round(avg(v), 8) AS v FROM p GROUP BY 1")
 def dst_probabilistic_pair_correlation(spark, d):
-    return _flat(analysis.probabilistic_pair_correlation(_img(spark, d).map(v / 10000)), "x", "v", places=8)
+    return _flat(analysis.probabilistic_pair_correlation(_img(spark, d).map(F.col("v") / 10000)), "x", "v", places=8)
