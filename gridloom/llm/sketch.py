@@ -22,6 +22,10 @@ SHINGLE = 5
 SCALE = 4
 #: Bytes of text in a range of ids that one task walks through.
 RANGE_BYTES = 8 << 20
+#: Ranges at most, of more bytes then; a task's memory depends on its two texts and not on its range.
+RANGES = 50_000
+#: Ids per range, those of least hash, from which the borders of ranges are taken.
+BORDER_IDS = 20
 
 
 def sketched(texts, shingle: int = SHINGLE, scale: int = SCALE) -> list[np.ndarray]:
@@ -80,23 +84,39 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
+def borders(docs: DataFrame, ranges: int) -> np.ndarray:
+    """Rising ids that cut those of ``docs`` into about equal ranges; only the balance of tasks depends on them."""
+    ids = docs.where("doc_id IS NOT NULL").select("doc_id")
+    if ranges < 2:
+        return np.zeros(0)
+    every = max(1, ids.count() // (ranges * BORDER_IDS))
+    found = sorted({r[0] for r in ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).distinct().collect()})
+    at = sorted({len(found) * k // ranges for k in range(1, ranges)} - {0}) if found else []
+    return np.array([found[k] for k in at], None if found and isinstance(found[0], int) else object)
+
+
 def edit_fingerprints(docs: DataFrame, shingle: int = SHINGLE, scale: int = SCALE, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Contract columns of op5.
 
     Documents are dealt to ranges of doc_id; a task walks through its ranges in falling order and
     holds two texts at a time.  The first document of the next range is sent along with each
     range, so the texts are shuffled once and no task sees more than its range.  Equal doc_ids
-    are ordered by text, null doc_ids come last, a null text is empty, an empty table gives an
+    are ordered by text and share a range, null doc_ids come last, ids may be of any type that has an order, a null text is empty, an empty table gives an
     empty table and other columns are ignored.
     """
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ranges = pieces_for(text_bytes(docs), range_bytes)
-    cuts = docs.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.25 / ranges) if ranges > 1 else []
-    cuts = sorted({int(c) for c in cuts}, reverse=True)
-    # range 0 holds the largest ids; null ids go to the last
-    number = F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"), lambda c: c > F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
-    number = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(number).cast("int")
+    cuts = borders(docs, min(RANGES, pieces_for(text_bytes(docs), range_bytes)))
+    number = F.lit(0)
+    if len(cuts):
+
+        @F.pandas_udf("int")
+        def above(ids: pd.Series) -> pd.Series:
+            # range 0 holds the largest ids
+            return pd.Series(len(cuts) - np.searchsorted(cuts, ids.to_numpy(), side="right"))
+
+        # null ids go to the last range
+        number = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(above(F.coalesce("doc_id", F.lit(cuts[0]).cast(kind)))).cast("int")
     dealt = docs.select(number.alias("part"), F.lit(False).alias("ahead"), "doc_id", "text")
 
     order = Window.orderBy("part")
@@ -105,7 +125,7 @@ def edit_fingerprints(docs: DataFrame, shingle: int = SHINGLE, scale: int = SCAL
     heads = heads.select(F.coalesce(F.lag("part").over(order), F.max("part").over(first)).alias("to"), "part", "doc_id")
     # of equal first ids the least text comes first, as in the walk
     aheads = (
-        dealt.join(heads.hint("broadcast") if ranges <= 10_000 else heads, F.expr("true") & heads["doc_id"].eqNullSafe(dealt["doc_id"]) & (heads["part"] == dealt["part"]), "inner")
+        dealt.join(heads.hint("broadcast") if len(cuts) < 10_000 else heads, F.expr("true") & heads["doc_id"].eqNullSafe(dealt["doc_id"]) & (heads["part"] == dealt["part"]), "inner")
         .groupBy("to", heads["doc_id"])
         .agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
         .select(F.col("to").alias("part"), F.lit(True).alias("ahead"), "doc_id", "text")

@@ -195,6 +195,20 @@ def test_edited_fingerprints(docs, rows):
     assert np.abs(np.array(estimates) - truths).mean() < 0.05
 
 
+def test_edited_fingerprints_of_string_and_repeated_ids(spark, docs):
+    texts = {f"id{r.doc_id:05d}": (r.text or "")[:3000] for r in docs.limit(60).collect()}
+    rows = [*texts.items(), ("id00003", "another text with the same id"), (None, "no id"), (None, None)]
+    d = spark.createDataFrame([(k, t, t) for k, t in rows], "doc_id string, text string, part string")
+    order = sorted(((k, t or "") for k, t in rows if k), key=lambda r: r[1])
+    order = sorted(order, key=lambda r: r[0], reverse=True) + [(None, ""), (None, "no id")]
+    want = Counter()
+    for (k, t), (_, after) in zip(order, [*order[1:], order[0]]):
+        want[k, len(t), hashlib.sha256((t[: len(t) - len(t) // 3] + after[: len(t) // 3]).encode()).hexdigest()] += 1
+    for size in (8_000, 1 << 30):
+        found = sketch.edit_fingerprints(d, range_bytes=size).collect()
+        assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in found) == want
+
+
 def test_sketches_merge_and_contain():
     text = " ".join(f"w{i}" for i in range(4000))
     part = " ".join(f"w{i}" for i in range(1000, 2000))
