@@ -12,8 +12,8 @@ from .functions import math as M
 from .functions import tensor as T
 from .functions.color import spaces
 from .kernels.filters import gaussian_weights, kernel_mask
-from .operators import analysis, display, distance, generators, geometry, linear, measurement, morphology, nonlinear, pointwise, projection, regions, statistics
-from .queries import _BANDS, _G1, _REACH, BIN, IMG, LABELS, PAIR, STACK, _bands, _bin, _flat, _img, _named, _near, _offsets, _outer, _pixel, _point, _rank, _xy, query
+from .operators import analysis, contours, display, distance, generators, geometry, histogram, linear, measurement, morphology, nonlinear, pointwise, projection, regions, statistics
+from .queries import _BANDS, _G1, _REACH, _SQL, BIN, GRAPH, HIST, IMG, LABELS, PAIR, STACK, _bands, _bin, _flat, _img, _named, _near, _offsets, _outer, _pixel, _point, _rank, _xy, query
 from .raster import ID, DIMS
 from .sources import tables as S
 
@@ -465,3 +465,91 @@ def dst_pair_correlation(spark, d):
 @query("dst_probabilistic_pair_correlation", f"WITH {IMG}, w AS (SELECT x, y, v / 10000 AS v FROM img), p AS (SELECT CAST(q.x - p.x AS INTEGER) AS x, p.v * q.v AS v FROM w p JOIN w q ON q.y = p.y AND q.x >= p.x UNION ALL SELECT CAST(q.y - p.y AS INTEGER), p.v * q.v FROM w p JOIN w q ON q.x = p.x AND q.y >= p.y) SELECT x, round(avg(v), 8) AS v FROM p GROUP BY 1")
 def dst_probabilistic_pair_correlation(spark, d):
     return _flat(analysis.probabilistic_pair_correlation(_img(spark, d).map(F.col("v") / 10000)), "x", "v", places=8)
+
+
+# --- statements for iterative thresholds, filters and forests ---------------------------------------------
+
+_SQL["thr_isodata"] = f"""WITH RECURSIVE {HIST}, q AS (SELECT bin, n, sum(n) OVER (ORDER BY bin) AS run, sum(n) OVER () AS total FROM h),
+r(i, t) AS (SELECT 0, CAST(min(bin) FILTER (run >= 0.5 * total) + 0.5 AS DOUBLE) FROM q UNION ALL
+  SELECT i + 1, (sum(n * bin) FILTER (bin <= t) / sum(n) FILTER (bin <= t) + sum(n * bin) FILTER (bin > t) / sum(n) FILTER (bin > t)) / 2 FROM r, h WHERE i < 100 GROUP BY i, t)
+SELECT round(min(center) + (SELECT t FROM r WHERE i = 100) * (max(center) - min(center)) / 63, 6) AS threshold FROM h"""
+
+_SQL["thr_minerror"] = f"""WITH {HIST}, s AS (SELECT k.bin AS k, h.bin >= k.bin AS up, h.n, h.center FROM h, h AS k WHERE k.bin > 0),
+c AS (SELECT k, up, sum(n) AS w, sum(n * center) / sum(n) AS m, count(*) FILTER (n > 0) AS used FROM s GROUP BY k, up),
+g AS (SELECT s.k, s.up, max(w) AS w, sum(n * power(center - m, 2)) / max(w) AS var FROM s JOIN c ON c.k = s.k AND c.up = s.up WHERE used > 1 GROUP BY s.k, s.up),
+j AS (SELECT k, sum(w * ln(var) - 2 * w * ln(w)) AS j FROM g GROUP BY k HAVING count(*) = 2)
+SELECT round((SELECT a.center + b.center FROM h a, h b WHERE b.bin = k AND a.bin = k - 1) / 2, 6) AS threshold FROM j ORDER BY j, k LIMIT 1"""
+
+_G4 = gaussian_weights(4.0)
+_SMOOTH = f"""{HIST}, o(d, w) AS (VALUES {", ".join(f"({i - len(_G4) // 2}, CAST({float(w)!r} AS DOUBLE))" for i, w in enumerate(_G4))}),
+c AS (SELECT p.bin, p.center, sum(q.n * o.w) AS c FROM h p CROSS JOIN o JOIN h q ON q.bin = p.bin + o.d GROUP BY p.bin, p.center),
+k AS (SELECT bin AS peak, center AS base, c AS top FROM c ORDER BY round(c, 9) DESC, bin LIMIT 1)"""
+
+_SQL["thr_triangle"] = f"""WITH {_SMOOTH}, u AS (SELECT min(bin) AS lo, max(bin) AS hi FROM c WHERE c > 0),
+g AS (SELECT peak, top, CASE WHEN hi - peak >= peak - lo THEN hi ELSE lo END AS last FROM k, u),
+f AS (SELECT g.*, c.c AS low FROM g JOIN c ON c.bin = g.last)
+SELECT round(center, 6) AS threshold FROM c, f WHERE bin BETWEEN least(peak, last) AND greatest(peak, last) ORDER BY round(abs((last - peak) * (c - top) - (low - top) * (bin - peak)), 9) DESC, bin LIMIT 1"""
+
+_SQL["thr_background"] = f"""WITH {_SMOOTH}, g AS (SELECT peak, base, CASE WHEN peak < 32 THEN max(bin) FILTER (bin <= peak AND (bin IN (0, 63) OR c <= top / 2)) ELSE min(bin) FILTER (bin >= peak AND (bin IN (0, 63) OR c <= top / 2)) END AS foot FROM c, k GROUP BY peak, base)
+SELECT round(base + 2 * abs(c.center - base) * CASE WHEN peak < 32 THEN 1 ELSE -1 END, 6) AS threshold FROM g JOIN c ON c.bin = g.foot"""
+
+_BELL = [(i, j, float(np.exp(-0.5 * (i * i + j * j) / 2.25))) for i in range(-3, 4) for j in range(-3, 4)]
+_ALIKE = "o.w * exp(-0.5 * power((q.v - p.v) / 100, 2))"
+_SQL["flt_bilateral"] = _near(_BELL, f"sum(q.v * {_ALIKE}) / sum({_ALIKE})").replace("GROUP BY p.x, p.y", "GROUP BY p.x, p.y, p.v")
+
+_FLOW = "s{1} AS (SELECT p.x, p.y, p.v + 0.25 * sum(exp(-power((coalesce(q.v, 0) - p.v) / 50, 2)) * (coalesce(q.v, 0) - p.v)) AS v FROM {0} p CROSS JOIN (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) o(dx, dy) LEFT JOIN {0} q ON q.x = p.x + o.dx AND q.y = p.y + o.dy GROUP BY p.x, p.y, p.v)"
+_SQL["flt_perona_malik"] = f"WITH {IMG}, {', '.join(_FLOW.format(f's{k - 1}' if k > 1 else 'img', k) for k in (1, 2, 3))} SELECT x, y, round(v, 6) AS v FROM s3"
+
+_BOX = [(i, j, 1.0) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+_AROUND = "q.x = 63 - abs(63 - abs(p.x + o.dx)) AND q.y = 63 - abs(63 - abs(p.y + o.dy))"
+_SQL["flt_kuwahara"] = f"""WITH {IMG}, o(dx, dy) AS (VALUES {", ".join(f"({i}, {j})" for i, j, _ in _BOX)}),
+m AS (SELECT p.x, p.y, avg(q.v) AS m, round(var_samp(q.v), 6) AS s FROM img p CROSS JOIN o JOIN img q ON {_AROUND} GROUP BY p.x, p.y)
+SELECT p.x, p.y, round(arg_min(q.m, q.s), 6) AS v FROM m p CROSS JOIN o JOIN m q ON {_AROUND} GROUP BY p.x, p.y"""
+
+_SQL["gra_msf"] = f"""WITH RECURSIVE {GRAPH}, e AS (SELECT a, b, w, row_number() OVER (ORDER BY w, a, b) AS k FROM g), two AS (SELECT a, b, k FROM e UNION ALL SELECT b, a, k FROM e),
+r AS (SELECT k, a AS v FROM e UNION SELECT r.k, two.b FROM r JOIN two ON two.a = r.v AND two.k < r.k)
+SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, CAST(w AS DOUBLE) AS w FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.k = e.k AND r.v = e.b)"""
+
+
+# --- marginals, tensor shapes, contours ---------------------------------------------------------------------
+
+_MARGINAL = f"WITH {PAIR}, e AS (SELECT min(a) AS la, max(a) AS ha, min(b) AS lb, max(b) AS hb FROM pair), s AS (SELECT 0 AS d, least(floor((a - la) / ((ha - la) / 16)), 15) AS bin, la AS lo, (ha - la) / 16 AS size FROM pair, e UNION ALL SELECT 1, least(floor((b - lb) / ((hb - lb) / 16)), 15), lb, (hb - lb) / 16 FROM pair, e), k AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY bin) - 1 AS k FROM s)"
+for _name, _p in (("hist_marginal_median", 50.0), ("hist_marginal_percentile", 90.0)):
+    _at = lambda d: f"max(lo + (bin + 0.5) * size) FILTER (d = {d})"
+    query(_name, f"{_MARGINAL} SELECT round({_at(0)}, 6) AS v0, round({_at(1)}, 6) AS v1 FROM k WHERE k = {_rank(_p, '4096')}")(
+        (lambda p: lambda spark, d: _flat(histogram.marginal_percentile(histogram.joint_histogram(*S.orders_pair(spark, d), bins=16), p), "v0", "v1"))(_p)
+    )
+
+
+@query("tns_expand_singleton", f"WITH {IMG} SELECT x, y, CAST(3 * v AS DOUBLE) AS v FROM img")
+def tns_expand_singleton(spark, d):
+    r = geometry.expand_singleton_tensor(_img(spark, d), 3)
+    return _xy(r.map(T.sum_(F.col("v"))))
+
+
+@query("tns_reshape", f"WITH {IMG} SELECT x, y, CAST(v + 4 AS DOUBLE) AS v FROM img")
+def tns_reshape(spark, d):
+    six = _img(spark, d).map(F.array(*[F.col("v") + k for k in range(6)]))
+    return _xy(geometry.reshape_tensor(six, 2, 3).map(F.element_at("v", 5)))
+
+
+@query("ctr_chain_image", f"WITH {IMG}, {_BANDS} SELECT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, label AS v FROM b")
+def ctr_chain_image(spark, d):
+    return contours.chain_code_image(contours.get_image_chain_codes(_bands(_img(spark, d)))).select("x", "y", "v")
+
+
+@query("ctr_chain_to_eight", f"WITH {IMG}, {_BANDS} SELECT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, label AS v FROM b")
+def ctr_chain_to_eight(spark, d):
+    codes = contours.chain_codes_to_eight(contours.get_image_chain_codes(_bands(_img(spark, d)), 4))
+    return contours.chain_code_image(codes).select("x", "y", "v")
+
+
+@query("ctr_chain_feret", f"WITH {IMG}, {_BANDS}, e AS (SELECT label, max(x) - min(x) AS w, max(y) - min(y) AS h FROM b GROUP BY label), a AS (SELECT label, 1 + w * abs(cos(k * pi() / 36)) + h * sin(k * pi() / 36) AS d FROM e, (SELECT unnest(range(36)) AS k)) SELECT label, round(max(d), 6) AS longest, round(min(d), 6) AS shortest FROM a GROUP BY label")
+def ctr_chain_feret(spark, d):
+    t = contours.chain_code_feret(contours.get_image_chain_codes(_bands(_img(spark, d))))
+    return _named(t, longest="max", shortest="min")
+
+
+@query("ctr_polygon_contains", f"WITH {IMG}, {_BANDS} SELECT label, bool_or(x = 10 AND y = 20) AS v FROM b GROUP BY label")
+def ctr_polygon_contains(spark, d):
+    return contours.polygon_contains(contours.polygons(_bands(_img(spark, d))), 10.0, 20.0).select("label", "v")

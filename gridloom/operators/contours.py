@@ -84,3 +84,42 @@ polygon_rotate = _points(C.rotate)
 polygon_scale = _points(C.scale)
 polygon_translate = _points(C.translate)
 polygon_convex_hull = _points(C.convex_hull)
+
+
+def polygon_contains(table: DataFrame, x: float, y: float) -> DataFrame:
+    """(image_id, label, v): whether the point lies in the polygon or on its edge."""
+    return _polygon_value(lambda p: bool(C.inside(p, x, y)), "boolean")(table)
+
+
+def chain_codes_to_eight(table: DataFrame) -> DataFrame:
+    """Four-connected codes as eight-connected ones."""
+    return table.withColumn("codes", F.transform("codes", lambda c: (2 * c).cast("int")))
+
+
+def chain_code_feret(table: DataFrame) -> DataFrame:
+    """Feret diameters of eight-connected codes: max, min, perpendicular and the angles of the first two."""
+    names = ("max", "min", "perpendicular", "max_angle", "min_angle")
+
+    @F.pandas_udf(", ".join(f"{n} double" for n in names))
+    def feret(x: pd.Series, y: pd.Series, codes: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([C.code_feret((a, b), np.asarray(c, int)) for a, b, c in zip(x, y, codes)], columns=list(names))
+
+    return table.select(ID, "label", feret("start_x", "start_y", "codes").alias("f")).select(ID, "label", "f.*")
+
+
+def chain_code_image(table: DataFrame, connectivity: int = 8) -> DataFrame:
+    """(image_id, x, y, v): the pixels of each filled contour, with its label as value; bounded by the contour's own box."""
+    numbers = "array<struct<x: int, y: int>>"
+
+    @F.pandas_udf(numbers)
+    def pixels(x: pd.Series, y: pd.Series, codes: pd.Series) -> pd.Series:
+        out = []
+        for a, b, c in zip(x, y, codes):
+            p = C.coordinates((a, b), np.asarray(c, int), connectivity)
+            low = p.min(0)
+            own = C.raster((a - low[0], b - low[1]), np.asarray(c, int), tuple((p.max(0) - low + 1)[::-1]), connectivity)
+            out.append([{"x": int(i + low[0]), "y": int(j + low[1])} for j, i in np.argwhere(own)])
+        return pd.Series(out)
+
+    rows = table.select(ID, "label", F.explode(pixels("start_x", "start_y", "codes")).alias("p"))
+    return rows.select(ID, "p.x", "p.y", F.col("label").alias("v"))

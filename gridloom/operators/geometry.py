@@ -95,6 +95,18 @@ def unexpand_singleton_dimensions(r: Raster, dims: list[int]) -> Raster:
     return r.using(r.df.where(keep).select(*r.keys, _value(r)), tuple(1 if k in dims else n for k, n in enumerate(r.sizes)))
 
 
+def expand_singleton_tensor(r: Raster, n: int) -> Raster:
+    """A tensor of one element, or a scalar, repeated n times."""
+    one = F.col(r.value)
+    return r.map(F.array_repeat(F.get(one, F.lit(0)) if r.df.schema[r.value].dataType.typeName() == "array" else one, n))
+
+
+def reshape_tensor(r: Raster, rows: int, cols: int) -> Raster:
+    """The same elements, column by column, as ``rows`` times ``cols``; another number of elements is an error."""
+    v = F.col(r.value)
+    return r.map(F.when(F.size(v) == rows * cols, v).otherwise(F.raise_error(F.lit(f"a tensor can't be reshaped to {rows} x {cols}"))))
+
+
 def is_singleton_expansion_possible(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return len(a) == len(b) and all(m == n or m == 1 or n == 1 for m, n in zip(a, b))
 

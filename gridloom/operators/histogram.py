@@ -178,6 +178,16 @@ def median(hist: DataFrame) -> DataFrame:
     return percentile(hist, 50)
 
 
+def marginal_percentile(hist: DataFrame, p: float) -> DataFrame:
+    """(image_id, v0, v1): the percentile of each dimension of a joint histogram."""
+    one, two = (percentile(marginal(hist, k), p).withColumnRenamed("v", f"v{k}") for k in (0, 1))
+    return one.join(two, ID)
+
+
+def marginal_median(hist: DataFrame) -> DataFrame:
+    return marginal_percentile(hist, 50)
+
+
 def mode(hist: DataFrame) -> DataFrame:
     return hist.groupBy(ID).agg(F.max_by("center", F.struct("count", -F.col("bin"))).alias("v"))
 

@@ -58,8 +58,8 @@ def move_to_local_minimum(binary: Raster, weight: Raster) -> Raster:
 
 
 def perona_malik_diffusion(r: Raster, iterations: int = 5, k: float = 10.0, step: float = 0.25, g: str = "Gauss") -> Raster:
-    """Each iteration reaches one pixel, so tiles need a halo of as many pixels."""
-    return per_tile(lambda a: K.diffusion(a, iterations, k, step, g), r, iterations + 1, "zero order")
+    """Each iteration reaches one pixel, so tiles need a halo of as many pixels; each sees zeros outside the image."""
+    return per_tile(lambda a: K.diffusion(a, iterations, k, step, g), r, iterations + 1, None)
 
 
 def gaussian_anisotropic_diffusion(r: Raster, iterations: int = 5, k: float = 10.0, step: float = 0.25, g: str = "Gauss", sigma: float = 1.0) -> Raster:

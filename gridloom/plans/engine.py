@@ -87,10 +87,11 @@ def per_image_rows(kernel: Callable[..., pd.DataFrame], schema: str, *rasters: R
     return df.groupBy(ID).applyInPandas(run, f"{ID} long, {schema}")
 
 
-def per_tile(kernel: Callable[[np.ndarray], np.ndarray], raster: Raster, halo: int, boundary: str = "mirror", tile: int = TILE) -> Raster:
+def per_tile(kernel: Callable[[np.ndarray], np.ndarray], raster: Raster, halo: int, boundary: str | None = "mirror", tile: int = TILE) -> Raster:
     """A kernel of reach ``halo`` on tiles; it gets a padded array and returns one of equal shape.
 
-    The image's own edge is extended by ``boundary`` inside the tiles that touch it.
+    The image's own edge is extended by ``boundary`` inside the tiles that touch it, or left
+    to the kernel without one.
     """
     from ..kernels.boundary import extended
 
@@ -113,8 +114,9 @@ def per_tile(kernel: Callable[[np.ndarray], np.ndarray], raster: Raster, halo: i
         for d, a in zip(dims, low):
             local[d] -= a
         array = to_array(local, dims, tuple(b - a for a, b in zip(low, high)))
-        pads = [(halo if a == 0 else 0, halo if b == n else 0) for a, b, n in zip(low, high, sizes)][::-1]
-        done = np.asarray(kernel(extended(array, pads, boundary)))
+        margin = halo if boundary is not None else 0
+        pads = [(margin if a == 0 else 0, margin if b == n else 0) for a, b, n in zip(low, high, sizes)][::-1]
+        done = np.asarray(kernel(extended(array, pads, boundary) if margin else array))
         start = [p + k * tile - a for (p, _), k, a in zip(pads[::-1], key[1:], low)]
         width = [min(n, (k + 1) * tile) - k * tile for k, n in zip(key[1:], sizes)]
         done = done[tuple(slice(s, s + w) for s, w in zip(start[::-1], width[::-1]))]

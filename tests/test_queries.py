@@ -12,6 +12,8 @@ NAMES = [
     "hist_2d_mutualinfo", "thr_otsu", "lut_equalize", "flt_gauss_fir", "flt_median3", "mor_open_rect", "bin_fillholes", "lab_label4_distributed", "lab_rag", "edt_sq", "msr_core",
     "msr_merge", "msr_otsu_objects", "geo_extend", "tns_eig2x2", "mic_manders", "gra_components", "dst_chordlength", "evt_window",
     "flt_laplace", "var_semivariogram", "dst_pair_correlation", "bin_open", "ovl_hausdorff", "col_rgb2lab", "col_luv_and_back", "tns_det2", "msr_shape", "px_pad",
+    "thr_isodata", "thr_minerror", "thr_triangle", "thr_background", "flt_bilateral", "flt_perona_malik", "flt_kuwahara", "gra_msf",
+    "hist_marginal_median", "tns_expand_singleton", "tns_reshape", "ctr_chain_to_eight", "ctr_chain_feret", "ctr_polygon_contains",
 ]
 
 
