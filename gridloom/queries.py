@@ -673,7 +673,8 @@ def tns_structure_corners(spark, d):
     return _xy(analysis.harris_corner_detector(_img(spark, d)), 3)
 
 
-from . import more_queries as _more  # noqa: E402, F401  registers its own
+from . import further_queries as _further  # noqa: E402, F401  registers its own
+from . import more_queries as _more  # noqa: E402, F401
 
 
 def queries() -> dict[str, Query]:
