@@ -200,3 +200,94 @@ query("bin_intersection_inf_generating", f"WITH {BIN}, {', '.join(_hit(i, f't{k}
 query("bin_thinning_step", f"WITH {BIN}, {_hit(_INTERVAL)} SELECT p.x, p.y, CASE WHEN p.b AND NOT t.b THEN 1.0 ELSE 0.0 END :: DOUBLE AS v FROM bin p JOIN t ON t.x = p.x AND t.y = p.y")(
     lambda spark, d: _xy(morphology.thinning(_bin(spark, d), intervals=[_INTERVAL], iterations=1))
 )
+
+
+# --- geometry ---------------------------------------------------------------------------------------
+
+_AT = "CAST({} AS INTEGER) AS {}"
+
+
+def _places(r: Raster, places: int = 6):
+    """All coordinates and the value, rounded."""
+    return r.df.select(*r.dims, F.round(F.col(r.value).cast("double"), places).alias("v"))
+
+
+_MOVES = {
+    "geo_permute": (lambda r: geometry.permute_dimensions(r, [1, 0]), f"SELECT {_AT.format('y', 'x')}, {_AT.format('x', 'y')}, v FROM img"),
+    "geo_reverse_dimensions": (geometry.reverse_dimensions, f"SELECT {_AT.format('y', 'x')}, {_AT.format('x', 'y')}, v FROM img"),
+    "geo_add_singleton": (lambda r: geometry.add_singleton(r, 1), f"SELECT x, {_AT.format('0', 'y')}, {_AT.format('y', 'z')}, v FROM img"),
+    "geo_squeeze": (lambda r: geometry.squeeze(geometry.add_singleton(r, 1)), "SELECT x, y, v FROM img"),
+    "geo_expand_dimensionality": (lambda r: geometry.expand_dimensionality(r, 3), f"SELECT x, y, {_AT.format('0', 'z')}, v FROM img"),
+    "geo_split_dimension": (lambda r: geometry.split_dimension(r, 0, 16), f"SELECT {_AT.format('x % 16', 'x')}, {_AT.format('x // 16', 'y')}, {_AT.format('y', 'z')}, v FROM img"),
+    "geo_expand_singleton": (lambda r: geometry.expand_singleton_dimension(geometry.expand_dimensionality(r, 3), 2, 3), "SELECT x, y, CAST(k AS INTEGER) AS z, v FROM img CROSS JOIN (SELECT unnest(range(3)) AS k)"),
+    "geo_unexpand_singleton": (lambda r: geometry.unexpand_singleton_dimensions(geometry.expand_singleton_dimension(geometry.expand_dimensionality(r, 3), 2, 3), [2]), f"SELECT x, y, {_AT.format('0', 'z')}, v FROM img"),
+    "geo_tensor_to_spatial": (lambda r: geometry.tensor_to_spatial(r.map(F.array(F.col("v"), F.col("v") * 2)), 2), "SELECT x, y, CAST(k AS INTEGER) AS z, v * (k + 1) AS v FROM img CROSS JOIN (SELECT unnest(range(2)) AS k)"),
+    "geo_spatial_to_tensor": (lambda r: (t := geometry.spatial_to_tensor(r, 1)).map(F.col("v")[3] - F.col("v")[60]), "SELECT x, sum(CASE y WHEN 3 THEN v WHEN 60 THEN -v END) AS v FROM img WHERE y IN (3, 60) GROUP BY x"),
+    "geo_split_complex": (lambda r: geometry.split_complex(r.map(F.struct(F.col("v").alias("re"), (-F.col("v")).alias("im")))), "SELECT x, y, CAST(k AS INTEGER) AS z, v * (1 - 2 * k) AS v FROM img CROSS JOIN (SELECT unnest(range(2)) AS k)"),
+    "geo_merge_complex": (lambda r: geometry.merge_tensor_to_complex(r.map(F.array(F.col("v"), F.lit(2.0)))).map(F.col("v")["re"] + 10 * F.col("v")["im"]), "SELECT x, y, v + 20 AS v FROM img"),
+    "geo_join_channels": (lambda r: geometry.join_channels(r, _flipped(r)).map(F.col("v")[0] - 3 * F.col("v")[1]), "SELECT p.x, p.y, p.v - 3 * q.v AS v FROM img p JOIN img q ON q.x = 63 - p.x AND q.y = p.y"),
+    "geo_split_channels": (lambda r: geometry.split_channels(r.map(F.array(F.col("v"), F.col("v") + 7)), 2)[1], "SELECT x, y, v + 7 AS v FROM img"),
+    "geo_tile_tensor": (lambda r: geometry.tile_tensor_elements(r.map(F.array(F.col("v"), F.col("v") + 7)), 2, 2), "SELECT CAST(x + 64 * k AS INTEGER) AS x, y, v + 7 * k AS v FROM img CROSS JOIN (SELECT unnest(range(2)) AS k)"),
+    "geo_extend_to_size": (lambda r: geometry.extend_image_to_size(r, (80, 70), "periodic"), "SELECT CAST(a.x AS INTEGER) AS x, CAST(b.y AS INTEGER) AS y, v FROM (SELECT unnest(range(80)) AS x) a CROSS JOIN (SELECT unnest(range(70)) AS y) b JOIN img ON img.x = (a.x + 56) % 64 AND img.y = (b.y + 61) % 64"),
+    "geo_extend_region": (lambda r: geometry.extend_region(r, [10, 5], [50, 60], "zero order"), "SELECT p.x, p.y, q.v FROM img p JOIN img q ON q.x = least(greatest(p.x, 10), 50) AND q.y = least(greatest(p.y, 5), 60)"),
+    "geo_set_pixel_size": (lambda r: geometry.set_pixel_size(r, (0.5, 2.0)), "SELECT x, y, v FROM img"),
+}
+for _name, (_run, _sql) in _MOVES.items():
+    query(_name, f"WITH {IMG}, f AS ({_sql}) SELECT * REPLACE (round(CAST(v AS DOUBLE), 6) AS v) FROM f")((lambda run: lambda spark, d: _places(run(_img(spark, d))))(_run))
+
+query("geo_read_outside", f"WITH {IMG} SELECT v FROM img WHERE x = 5 AND y = 60")(lambda spark, d: _flat(geometry.read_pixel_with_boundary_condition(_img(spark, d), [-5, 66], "mirror"), "v"))
+query("geo_dice", f"WITH {IMG} SELECT CAST(x // 16 + 4 * (y // 32) AS BIGINT) AS block, CAST(x % 16 AS INTEGER) AS x, CAST(y % 32 AS INTEGER) AS y, v FROM img")(lambda spark, d: _flat(geometry.dice(_img(spark, d), (16, 32)), "block", "x", "y", "v"))
+
+# position p of a zoomed image lies at (p - shift) / zoom; pixels beyond the edge are mirrored
+_ZOOM = f"""WITH {IMG}, k AS (SELECT CAST(unnest(range({{n}})) AS INTEGER) AS p), f AS (SELECT p, floor((p - {{s}}) / {{z}}) AS a, (p - {{s}}) / {{z}} - floor((p - {{s}}) / {{z}}) AS t FROM k),
+w(o, c) AS (VALUES {{taps}}), g AS (SELECT p, 63 - abs(63 - abs(a + o)) AS i, {{weight}} AS w FROM f CROSS JOIN w)
+SELECT gx.p AS x, gy.p AS y, round(sum(img.v * gx.w * gy.w), 6) AS v FROM g gx CROSS JOIN g gy JOIN img ON img.x = gx.i AND img.y = gy.i GROUP BY 1, 2"""
+_LINEAR = {"taps": "(0, 0), (1, 0)", "weight": "CASE o WHEN 0 THEN 1 - t ELSE t END"}
+# fixed values: the cubic convolution of four pixels
+_CUBIC = {"taps": "(-1, 0), (0, 0), (1, 0), (2, 0)", "weight": "CASE o WHEN -1 THEN -0.5 * t + t * t - 0.5 * t * t * t WHEN 0 THEN 1 - 2.5 * t * t + 1.5 * t * t * t WHEN 1 THEN 0.5 * t + 2 * t * t - 1.5 * t * t * t ELSE -0.5 * t * t + 0.5 * t * t * t END"}
+_NEAREST = {"taps": "(0, 0), (1, 0)", "weight": "CASE WHEN (o = 0) = (t < 0.5) THEN 1 ELSE 0 END"}
+for _name, _how, _taps in (("linear", "linear", _LINEAR), ("cubic", "3-cubic", _CUBIC), ("nearest", "nearest", _NEAREST)):
+    query(f"geo_resampling_{_name}", _ZOOM.format(n=96, s=0.0, z=1.5, **_taps))((lambda how: _point(lambda r: geometry.resampling(r, [1.5, 1.5], None, how)))(_how))
+    query(f"geo_shift_{_name}_quarter", _ZOOM.format(n=64, s=2.25, z=1.0, **_taps))((lambda how: _point(lambda r: geometry.shift(r, [2.25, 2.25], how)))(_how))
+
+# linear between pixels at (qx, qy); zero outside
+_BETWEEN = """SELECT {keys}, round(coalesce(sum(img.v * (CASE WHEN o.i = 0 THEN 1 - (qx - floor(qx)) ELSE qx - floor(qx) END) * (CASE WHEN o.j = 0 THEN 1 - (qy - floor(qy)) ELSE qy - floor(qy) END)), 0), 6) AS v
+FROM f CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(i, j) LEFT JOIN img ON qx BETWEEN 0 AND 63 AND qy BETWEEN 0 AND 63 AND img.x = floor(qx) + o.i AND img.y = floor(qy) + o.j GROUP BY {keys}"""
+query("geo_affine", f"WITH {IMG}, f AS (SELECT x, y, (x - 32 - 3 - 0.5 * (y - 32 - 1) / 1.25) / 2 + 32 AS qx, (y - 32 - 1) / 1.25 + 32 AS qy FROM grid) {_BETWEEN.format(keys='f.x, f.y')}")(
+    _point(lambda r: geometry.affine_transform(r, [[2.0, 0.5, 3.0], [0.0, 1.25, 1.0]]))
+)
+query("geo_resample_at", f"WITH {IMG}, f AS (SELECT CAST(s_suppkey AS BIGINT) AS k, (s_suppkey * 37 % 630) / 10.0 + 0.03 AS qx, (s_suppkey * 53 % 610) / 10.0 + 0.07 AS qy FROM supplier) {_BETWEEN.format(keys='f.k')}")(
+    lambda spark, d: _sampled(spark, d)
+)
+
+
+def _sampled(spark, d):
+    key = F.col("s_suppkey")
+    at = F.array(key * 37 % 630 / 10.0 + 0.03, key * 53 % 610 / 10.0 + 0.07)
+    points = S.table(spark, d, "supplier").select(F.lit(0).cast("long").alias(ID), key.cast("long").alias("k"), at.alias("p"))
+    found = geometry.resample_at(_img(spark, d), points.select(ID, "p"))
+    return _flat(points.join(found, [ID, "p"]), "k", "v")
+
+
+# --- spectra and wavelets ------------------------------------------------------------------------------
+
+_WAVES = f"""WITH {IMG}, k AS (SELECT CAST(unnest(range(64)) AS INTEGER) AS k), w AS (SELECT a.k AS f, b.k AS p, 2 * pi() * ((a.k - 32) * (b.k - 32) % 64) / 64 AS t FROM k a CROSS JOIN k b),
+r AS (SELECT w.f AS x, img.y, sum(v * cos(t)) AS re, -sum(v * sin(t)) AS im FROM img JOIN w ON w.p = img.x GROUP BY 1, 2),
+s AS (SELECT r.x, w.f AS y, sum(re * cos(t) + im * sin(t)) AS re, sum(im * cos(t) - re * sin(t)) AS im FROM r JOIN w ON w.p = r.y GROUP BY 1, 2)"""
+
+
+@query("ft_spectrum", f"{_WAVES} SELECT x, y, round(re, 4) AS re, round(im, 4) AS im FROM s")
+def ft_spectrum(spark, d):
+    r = transform.fourier_transform(_img(spark, d))
+    return r.df.select("x", "y", F.round(F.col("v")[0], 4).alias("re"), F.round(F.col("v")[1], 4).alias("im"))
+
+
+query("ft_autocorrelation", f"WITH {IMG}, s AS (SELECT CAST((p.x - q.x + 96) % 64 AS INTEGER) AS x, CAST((p.y - q.y + 96) % 64 AS INTEGER) AS y, sum(p.v * q.v) AS v FROM img p CROSS JOIN img q GROUP BY 1, 2) SELECT x, y, round(v, 3) AS v FROM s")(lambda spark, d: _xy(transform.auto_correlation_ft(_img(spark, d)), 3))
+query("ft_cross_correlation", f"WITH {IMG}, s AS (SELECT CAST((p.x - q.x + 96) % 64 AS INTEGER) AS x, CAST((p.y - q.y + 96) % 64 AS INTEGER) AS y, sum(p.v * r.v) AS v FROM img p CROSS JOIN img q JOIN img r ON r.x = 63 - q.x AND r.y = q.y GROUP BY 1, 2) SELECT x, y, round(v, 3) AS v FROM s")(
+    lambda spark, d: _xy(transform.cross_correlation_ft((r := _img(spark, d)), _flipped(r)), 3)
+)
+query("ft_haar", f"WITH {IMG} SELECT CAST(x // 2 + 32 * i AS INTEGER) AS x, CAST(y // 2 + 32 * j AS INTEGER) AS y, round(sum(v * (CASE WHEN i = 1 AND x % 2 = 1 THEN -0.5 ELSE 0.5 END) * (CASE WHEN j = 1 AND y % 2 = 1 THEN -1 ELSE 1 END)), 6) AS v FROM img CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(i, j) GROUP BY 1, 2")(
+    _point(lambda r: transform.haar_wavelet_transform(r, 1))
+)
+query("ft_haar_and_back", f"WITH {IMG} SELECT x, y, round(v, 6) AS v FROM img")(_point(lambda r: transform.haar_wavelet_transform(transform.haar_wavelet_transform(r, 3), 3, True)))
+query("ft_shift", f"WITH {IMG} SELECT CAST((x + 5) % 64 AS INTEGER) AS x, CAST((y + 61) % 64 AS INTEGER) AS y, round(v, 6) AS v FROM img")(_point(lambda r: geometry.shift_ft(r, [5.0, -3.0])))
