@@ -291,3 +291,209 @@ query("ft_haar", f"WITH {IMG} SELECT CAST(x // 2 + 32 * i AS INTEGER) AS x, CAST
 )
 query("ft_haar_and_back", f"WITH {IMG} SELECT x, y, round(v, 6) AS v FROM img")(_point(lambda r: transform.haar_wavelet_transform(transform.haar_wavelet_transform(r, 3), 3, True)))
 query("ft_shift", f"WITH {IMG} SELECT CAST((x + 5) % 64 AS INTEGER) AS x, CAST((y + 61) % 64 AS INTEGER) AS y, round(v, 6) AS v FROM img")(_point(lambda r: geometry.shift_ft(r, [5.0, -3.0])))
+
+
+# --- histograms and distributions ------------------------------------------------------------------------
+
+query("hist_reverse_lookup", f"WITH {HIST} SELECT img.x, img.y, CAST(h.n AS DOUBLE) AS v FROM img CROSS JOIN e JOIN h ON h.bin = least(floor((v - lo) / ((hi - lo) / 64)), 63)")(
+    lambda spark, d: _xy(histogram.reverse_lookup((r := _img(spark, d)), histogram.histogram(r, (c := histogram.complete(r, 64))), c))
+)
+query("hist_added", f"WITH {HIST} SELECT CAST(bin AS INTEGER) AS bin, round(center, 6) AS center, CAST(n + n AS BIGINT) AS n FROM h")(lambda spark, d: _counts(histogram.added((h := _hist(spark, d)), h)))
+query("hist_subtracted", f"WITH {HIST} SELECT CAST(bin AS INTEGER) AS bin, round(center, 6) AS center, CAST(n AS BIGINT) AS n FROM h")(lambda spark, d: _counts(histogram.subtracted(histogram.added((h := _hist(spark, d)), h), h)))
+
+
+def _counts(h):
+    return h.select(F.col("bin").cast("int").alias("bin"), F.round("center", 6).alias("center"), F.col("count").cast("long").alias("n"))
+
+
+_JOINT = f"WITH {PAIR}, e AS (SELECT min(a) AS la, (max(a) - min(a)) / 16 AS sa, min(b) AS lb, (max(b) - min(b)) / 16 AS sb FROM pair), j AS (SELECT least(floor((a - la) / sa), 15) AS i, least(floor((b - lb) / sb), 15) AS k, la + (least(floor((a - la) / sa), 15) + 0.5) * sa AS x, lb + (least(floor((b - lb) / sb), 15) + 0.5) * sb AS y FROM pair, e)"
+_joint = lambda spark, d: histogram.joint_histogram(*S.orders_pair(spark, d), bins=16)
+query("hist_marginal", f"{_JOINT} SELECT CAST(k AS INTEGER) AS bin, round(y, 6) AS center, count(*) AS n FROM j GROUP BY 1, 2")(lambda spark, d: _counts(histogram.marginal(_joint(spark, d), 1).where("count > 0")))
+query("hist_covariance", f"{_JOINT} SELECT round(var_samp(x), 6) AS v1, round(var_samp(y), 2) AS v2, round(covar_samp(x, y), 4) AS cov FROM j")(
+    lambda spark, d: histogram.covariance(_joint(spark, d)).select(F.round("var", 6).alias("v1"), F.round("var2", 2).alias("v2"), F.round("cov", 4).alias("cov"))
+)
+query("hist_pearson", f"{_JOINT} SELECT round(corr(x, y), 6) AS v FROM j")(lambda spark, d: _flat(histogram.pearson_correlation(_joint(spark, d)), "v"))
+query("hist_regression", f"{_JOINT} SELECT round(regr_slope(y, x), 4) AS slope, round(regr_intercept(y, x), 4) AS intercept FROM j")(lambda spark, d: _flat(histogram.regression(_joint(spark, d)), "slope", "intercept", places=4))
+query("hist_tensor", "WITH " + IMG + " SELECT CAST(least(floor(v / 100), 9) AS INTEGER) AS bin, CAST(x // 16 AS INTEGER) AS bin2, count(*) AS n FROM img GROUP BY 1, 2")(
+    lambda spark, d: histogram.tensor_histogram(_img(spark, d).map(F.array(F.col("v"), F.col("x").cast("double"))), [histogram.Configuration(0.0, 1000.0, 10), histogram.Configuration(0.0, 64.0, 4)]).select(F.col("bin").cast("int").alias("bin"), F.col("bin2").cast("int").alias("bin2"), F.col("count").cast("long").alias("n"))
+)
+query("hist_equalization_table", f"WITH {HIST} SELECT CAST(bin AS INTEGER) AS bin, round(CAST(sum(n) OVER (ORDER BY bin) * 63 / sum(n) OVER () AS DOUBLE), 6) AS v FROM h")(
+    lambda spark, d: histogram.equalization_table(_hist(spark, d)).select(F.col("bin").cast("int").alias("bin"), F.round(F.col("value").cast("double"), 6).alias("v"))
+)
+
+# a distribution: counts over bin centres
+_DIST = f"WITH {HIST}, d AS (SELECT center AS x, CAST(n AS DOUBLE) AS y FROM h), s AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM d WINDOW w AS (ORDER BY x))"
+
+
+def _dist(spark, d):
+    return _hist(spark, d).select(ID, F.col("center").alias("x"), F.col("count").cast("double").alias("y"))
+
+
+_TRAPEZES = "sum(coalesce((x - px) * (y + py) / 2, 0)) OVER (ORDER BY x)"
+_OVER_X = {
+    "dst_sorted": (histogram.sort_distribution, "round(y, 6) AS y FROM d"),
+    "dst_cumulative": (histogram.cumulative_distribution, "round(sum(y) OVER (ORDER BY x), 6) AS y FROM d"),
+    "dst_normalize_sum": (histogram.normalize_sum, "round(y / sum(y) OVER (), 6) AS y FROM d"),
+    "dst_integrate": (histogram.integrate, f"round({_TRAPEZES}, 6) AS y FROM s"),
+    "dst_normalize_integral": (histogram.normalize_integral, "round(y / (SELECT sum((x - px) * (y + py) / 2) FROM s), 6) AS y FROM s"),
+    "dst_differentiate": (histogram.differentiate, "round(CASE WHEN px IS NULL THEN (ny - y) / (nx - x) WHEN nx IS NULL THEN (y - py) / (x - px) ELSE ((y - py) / (x - px) + (ny - y) / (nx - x)) / 2 END, 6) AS y FROM s"),
+}
+for _name, (_run, _sql) in _OVER_X.items():
+    query(_name, f"{_DIST} SELECT round(x, 6) AS x, {_sql}")((lambda run: lambda spark, d: _flat(run(_dist(spark, d)), "x", "y"))(_run))
+query("dst_set_sampling", f"{_DIST} SELECT CAST(3 + 0.5 * (row_number() OVER (ORDER BY x) - 1) AS DOUBLE) AS x, y FROM d")(lambda spark, d: _flat(histogram.set_sampling(_dist(spark, d), 3.0, 0.5), "x", "y"))
+query("dst_integral", f"{_DIST} SELECT round(sum((x - px) * (y + py) / 2), 6) AS v FROM s")(lambda spark, d: _flat(histogram.integral(_dist(spark, d)), "v"))
+query("dst_maximum_likelihood", f"{_DIST} SELECT round(x, 6) AS v FROM d ORDER BY y DESC, x LIMIT 1")(lambda spark, d: _flat(histogram.maximum_likelihood(_dist(spark, d)), "v"))
+
+# --- thresholds, display and sample types ------------------------------------------------------------------
+
+_SATURATED = {
+    "typ_saturated_sub": (lambda v: Y.saturated_sub(v, 300, "UINT8"), "least(greatest(v - 300, 0), 255)"),
+    "typ_saturated_mul": (lambda v: Y.saturated_mul(v, 100, "UINT16"), "least(v * 100, 65535)"),
+    "typ_saturated_div": (lambda v: Y.saturated_div(v, 7, "UINT8"), "least(floor(v / 7), 255)"),
+    "typ_saturated_safediv": (lambda v: Y.saturated_safediv(F.lit(1000), v, "SINT16"), "CASE WHEN v = 0 THEN 0 ELSE floor(1000 / v) END"),
+    "typ_saturated_inv": (lambda v: Y.saturated_inv(v % 256, "UINT8"), "255 - v % 256"),
+    "typ_saturated_inv_signed": (lambda v: Y.saturated_inv(v - 250, "SINT8"), "least(greatest(250 - v, -128), 127)"),
+    "typ_clamp_cast": (lambda v: Y.clamp_cast((v - 250) * 1.5, "SINT8"), "least(greatest(trunc((v - 250) * 1.5), -128), 127)"),
+    "typ_floor_cast": (lambda v: Y.floor_cast((v - 250) / 7), "floor((v - 250) / 7)"),
+    "typ_ceil_cast": (lambda v: Y.ceil_cast((v - 250) / 7), "ceil((v - 250) / 7)"),
+    "typ_consistent_round": (lambda v: Y.consistent_round((v - 250) / 2), "floor((v - 250) / 2 + 0.5)"),
+    "typ_divided": (lambda v: F.when(F.abs(Y.divided(F.lit(100.0), v - 250)) > 1e9, 7.0).otherwise(Y.divided(F.lit(100.0), v - 250)), "CASE WHEN v = 250 THEN 7 ELSE 100 / (v - 250) END"),
+}
+_PIXELS = {name: ((lambda f: lambda r: r.map(f(F.col("v")).cast("double")))(f), sql) for name, (f, sql) in _SATURATED.items()} | {
+    "thr_fixed": (lambda r: threshold.fixed_threshold(r, 250.0, 3.0, 1.0), "CASE WHEN v >= 250 THEN 3 ELSE 1 END"),
+    "thr_range": (lambda r: threshold.range_threshold(r, 200.0, 300.0), "CASE WHEN v BETWEEN 200 AND 300 THEN 1 ELSE 0 END"),
+    "thr_by_volume": (lambda r: threshold.threshold(r, "volume", 0.5), "CASE WHEN v >= (SELECT v FROM (SELECT v, row_number() OVER (ORDER BY v) AS k FROM img) WHERE k = 2049) THEN 1 ELSE 0 END"),
+    "thr_by_fixed": (lambda r: threshold.threshold(r, "fixed", 300.0), "CASE WHEN v >= 300 THEN 1 ELSE 0 END"),
+    "dsp_modulo": (lambda r: display.image_display(r, "modulo"), "v % 256"),
+    "dsp_linear": (lambda r: display.image_display(r, "lin"), "255 * (v - (SELECT min(v) FROM img)) / (SELECT max(v) - min(v) FROM img)"),
+    "dsp_logarithmic": (lambda r: display.image_display(r, "log"), "255 * ln(1 + v - (SELECT min(v) FROM img)) / ln(1 + (SELECT max(v) - min(v) FROM img))"),
+    "dsp_based": (lambda r: display.image_display(r, "based"), "255 * (v / (SELECT greatest(abs(min(v)), abs(max(v))) FROM img) + 1) / 2"),
+    "dsp_sigmoid": (lambda r: display.contrast_stretch(r, method="sigmoid"), "255 * (1 / (1 + exp(-10 * ((v - (SELECT min(v) FROM img)) / (SELECT max(v) - min(v) FROM img) - 0.5))) - 1 / (1 + exp(5))) / (1 / (1 + exp(-5)) - 1 / (1 + exp(5)))"),
+    "dsp_color_map": (lambda r: display.apply_color_map(r, "saturation").map(F.col("v")[0] + 2 * F.col("v")[2]), "CASE WHEN v < 1 THEN 510 WHEN v >= 255 THEN 255 ELSE 3 * floor(v) END"),
+    "dsp_overlay": (lambda r: display.overlay(r, pointwise.greater(r, 300.0)).map(F.col("v")[0] + 2 * F.col("v")[1]), "CASE WHEN v > 300 THEN 255 ELSE 3 * v END"),
+    "dsp_alpha_channel": (lambda r: display.apply_alpha_channel(r.map(F.array(F.col("v"), F.lit(0.0), F.lit(9.0), F.lit(102.0))), (10.0, 0.0, 0.0)).map(F.col("v")[0] + F.col("v")[2]), "0.4 * v + 6 + 3.6"),
+    "ext_scan_monadic": (lambda r: extension.scan(lambda v: v * v + 1, r), "v * v + 1"),
+    "ext_scan_arrays": (lambda r: extension.scan_arrays(lambda a: np.where(a > 300, a, -a), r), "CASE WHEN v > 300 THEN v ELSE -v END"),
+    "ext_line_filter": (lambda r: extension.one_dimensional_line_filter(r, np.cumsum, "y"), "sum(v) OVER (PARTITION BY x ORDER BY y)"),
+    "mic_inverse_beer_lambert": (lambda r: microscopy.inverse_beer_lambert_mapping(r.map(F.col("v") / 500)), "power(10, -v / 500) * 255"),
+    "mic_mix_stains": (lambda r: microscopy.mix_stains(r.map(F.array(F.col("v"), F.lit(2.0))), [[0.6, 0.7, 0.3], [0.1, 0.9, 0.2]]).map(F.col("v")[0] + 10 * F.col("v")[1]), "0.6 * v + 0.2 + 10 * (0.7 * v + 1.8)"),
+    "mic_unmix_stains": (lambda r: microscopy.unmix_stains(microscopy.mix_stains(r.map(F.array(F.col("v"), F.lit(2.0))), [[0.6, 0.7, 0.3], [0.1, 0.9, 0.2]]), [[0.6, 0.7, 0.3], [0.1, 0.9, 0.2]]).map(F.col("v")[0] + 10 * F.col("v")[1]), "v + 20"),
+    "px_apply_lut_linear": (lambda r: pointwise.apply_lut(r, r.spark.createDataFrame([(100.0, 5.0), (300.0, 1.0), (500.0, 9.0)], "index double, value double"), "linear"), "CASE WHEN v <= 100 THEN 5 WHEN v <= 300 THEN 5 - 4 * (v - 100) / 200 WHEN v <= 500 THEN 1 + 8 * (v - 300) / 200 ELSE 9 END"),
+    "px_apply_lut_zero_order": (lambda r: pointwise.apply_lut(r, r.spark.createDataFrame([(100.0, 5.0), (300.0, 1.0), (500.0, 9.0)], "index double, value double"), outside="keep"), "CASE WHEN v < 100 OR v > 500 THEN v WHEN v < 300 THEN 5 WHEN v < 500 THEN 1 ELSE 9 END"),
+    "px_draw_lines": (lambda r: generators.draw_lines(r, [(5, 9), (45, 49), (45, 60)], 7.0), "CASE WHEN y = x + 4 AND x BETWEEN 5 AND 45 OR x = 45 AND y BETWEEN 49 AND 60 THEN 7 ELSE v END"),
+    "px_draw_bandlimited_line": (lambda r: generators.draw_bandlimited_line(r, (10, 30), (50, 30), 7.0, 2.0), "v + CASE WHEN power(x - least(greatest(x, 10), 50), 2) + power(y - 30, 2) > 36 THEN 0 ELSE 7 * exp(-(power(x - least(greatest(x, 10), 50), 2) + power(y - 30, 2)) / 8) / (sqrt(2 * pi()) * 2) END"),
+    "px_draw_bandlimited_circle": (lambda r: generators.draw_bandlimited_ball(r, 40.0, (30, 32), 7.0, False), "v + CASE WHEN abs(20 - sqrt(power(x - 30, 2) + power(y - 32, 2))) > 3 THEN 0 ELSE 7 * exp(-0.5 * power(20 - sqrt(power(x - 30, 2) + power(y - 32, 2)), 2)) / sqrt(2 * pi()) END"),
+}
+for _name, (_run, _sql) in _PIXELS.items():
+    query(_name, f"WITH {IMG} SELECT x, y, round(CAST({_sql} AS DOUBLE), 6) AS v FROM img")(_point(_run))
+
+query("dsp_slice_maximum", f"WITH {STACK} SELECT image_id, x, y, v % 128 * 2 AS v FROM stack")(
+    lambda spark, d: display.image_display(geometry.tensor_to_spatial(S.lineitem_stack(spark, d).map(F.array(F.col("v") % 128, F.col("v") % 128 * 2)), 2), "modulo", projection="max").df.select(ID, "x", "y", "v")
+)
+query("dsp_label_edges", f"WITH {IMG}, {_BANDS}, w AS (SELECT CAST(a.x AS INTEGER) AS x, CAST(b.y AS INTEGER) AS y FROM (SELECT unnest(range(128)) AS x) a CROSS JOIN (SELECT unnest(range(128)) AS y) b) SELECT w.x, w.y, CASE WHEN w.y % 16 = 15 AND w.y < 127 THEN 0 ELSE 1 + w.y // 16 END :: DOUBLE AS v FROM w")(
+    lambda spark, d: _xy(display.mark_label_edges(_bands(_img(spark, d))))
+)
+query("ext_scan_dyadic", f"WITH {IMG} SELECT p.x, p.y, round(p.v * 2 - q.v, 6) AS v FROM img p JOIN img q ON q.x = 63 - p.x AND q.y = p.y")(lambda spark, d: _xy(extension.scan(lambda a, b: a * 2 - b, (r := _img(spark, d)), _flipped(r))))
+query("ext_accumulators", f"WITH {IMG} SELECT count(*) FILTER (v > 300) AS high, round(max(v) - min(v), 6) AS span FROM img")(
+    lambda spark, d: extension.scan_single_input(_img(spark, d), {"high": F.count_if(F.col("v") > 300), "span": F.round(F.max("v") - F.min("v"), 6)}).select("high", "span")
+)
+query("ext_compare_images", f"WITH {IMG} SELECT bool_and(p.v = q.v) AS equal FROM img p JOIN img q ON q.x = 63 - p.x AND q.y = p.y")(lambda spark, d: extension.compare_images((r := _img(spark, d)), _flipped(r), "exact").select("equal"))
+
+# --- projections and statistics -----------------------------------------------------------------------------
+
+_COMPLEX = f"WITH {IMG}, c AS (SELECT x, sqrt(v * v + x * x) AS v FROM img)"
+for _name, _run, _sql in (
+    ("mean_modulus", projection.mean_modulus, "avg(v)"), ("sum_modulus", projection.sum_modulus, "sum(v)"),
+    ("mean_square_modulus", projection.mean_square_modulus, "avg(v * v)"), ("sum_square_modulus", projection.sum_square_modulus, "sum(v * v)"),
+):
+    query(f"proj_{_name}", f"{_COMPLEX} SELECT x, round({_sql}, 4) AS v FROM c GROUP BY x")(
+        (lambda run: lambda spark, d: _flat(run(_img(spark, d).map(F.struct(F.col("v").alias("re"), F.col("x").cast("double").alias("im"))), ["y"]), "x", "v", places=4))(_run)
+    )
+_RANKED = f"WITH {IMG}, k AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY v) - 1 AS k FROM img), p AS (SELECT x, v FROM k WHERE k = {{k}}) SELECT img.x, CAST(min(y) AS DOUBLE) AS v FROM img JOIN p ON p.x = img.x AND p.v = img.v GROUP BY img.x"
+query("proj_position_percentile", _RANKED.format(k=16))(lambda spark, d: _flat(projection.position_percentile(_img(spark, d), "y", 25.0), "x", "v"))
+query("proj_position_median", _RANKED.format(k=32))(lambda spark, d: _flat(projection.position_median(_img(spark, d), "y"), "x", "v"))
+query("proj_directional_mean", f"WITH {IMG} SELECT x, round(atan2(avg(sin(v)), avg(cos(v))), 6) AS v FROM img GROUP BY x")(lambda spark, d: _flat(projection.mean(_img(spark, d), ["y"], mode="directional"), "x", "v"))
+query("proj_directional_variance", f"WITH {IMG} SELECT x, round(1 - sqrt(power(avg(sin(v)), 2) + power(avg(cos(v)), 2)), 6) AS v FROM img GROUP BY x")(lambda spark, d: _flat(projection.variance(_img(spark, d), ["y"], mode="directional"), "x", "v"))
+query("stat_noise_variance", f"WITH {IMG}, {_cte('s', _outer([1.0, -2.0, 1.0], [1.0, -2.0, 1.0]), _SUM)} SELECT round(avg(v * v) / 36, 6) AS v FROM s")(
+    lambda spark, d: _flat(statistics.estimate_noise_variance((r := _img(spark, d)), r.map(F.lit(1.0))), "v")
+)
+_G15 = gaussian_weights(1.5)
+_WINDOW = [_cte(n, _outer(_G15, _G15), _SUM, s) for n, s in (("ma", "img"), ("mb", "j"), ("aa", "a2"), ("bb", "b2"), ("ab", "a1"))]
+query("stat_ssim", f"""WITH {IMG}, j AS (SELECT 63 - x AS x, y, v FROM img), a2 AS (SELECT x, y, v * v AS v FROM img), b2 AS (SELECT x, y, v * v AS v FROM j), a1 AS (SELECT img.x, img.y, img.v * j.v AS v FROM img JOIN j ON j.x = img.x AND j.y = img.y),
+{", ".join(_WINDOW)}, l AS (SELECT power(0.01 * (max(v) - min(v)), 2) AS c1, power(0.03 * (max(v) - min(v)), 2) AS c2 FROM img)
+SELECT round(avg((2 * ma.v * mb.v + c1) * (2 * (ab.v - ma.v * mb.v) + c2) / ((ma.v * ma.v + mb.v * mb.v + c1) * (aa.v - ma.v * ma.v + bb.v - mb.v * mb.v + c2))), 6) AS v
+FROM l, ma JOIN mb ON mb.x = ma.x AND mb.y = ma.y JOIN aa ON aa.x = ma.x AND aa.y = ma.y JOIN bb ON bb.x = ma.x AND bb.y = ma.y JOIN ab ON ab.x = ma.x AND ab.y = ma.y""")(lambda spark, d: _flat(statistics.ssim((r := _img(spark, d)), _flipped(r)), "v"))
+
+# --- graphs and label maps ------------------------------------------------------------------------------------
+
+_W = "CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, CAST(w AS DOUBLE) AS w"
+_edges = lambda f: lambda spark, d: f(S.nation_graph(spark, d)).select("a", "b", "w")
+query("gra_add_edge", f"WITH {GRAPH}, n AS (SELECT a, b, w, 0 AS k FROM g UNION ALL SELECT 3, 900, 2.5, 1) SELECT {_W} FROM n")(_edges(lambda e: graph.add_edge(e, 900, 3, 2.5)))
+query("gra_add_edge_sum_weight", f"WITH {GRAPH}, n AS (SELECT a, b, w FROM g UNION ALL SELECT 0, 1, 2.5) SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, CAST(sum(w) AS DOUBLE) AS w FROM n GROUP BY a, b")(_edges(lambda e: graph.add_edge_sum_weight(e, 0, 1, 2.5)))
+query("gra_delete_edge", f"WITH {GRAPH} SELECT {_W} FROM g WHERE NOT (a = 1 AND b = 2)")(_edges(lambda e: graph.delete_edge(e, 2, 1)))
+query("gra_remove_largest_edges", f"WITH {GRAPH}, r AS (SELECT *, row_number() OVER (ORDER BY w DESC, a, b) AS k FROM g) SELECT {_W} FROM r WHERE k > 20")(_edges(lambda e: graph.remove_largest_edges(e, 20)))
+query("gra_directed", f"WITH {GRAPH}, n AS (SELECT a, b, w FROM g UNION ALL SELECT b, a, w FROM g) SELECT {_W} FROM n")(_edges(graph.directed))
+query("gra_update_edge_weights", f"WITH {GRAPH} SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, CAST(abs(p.n_regionkey - q.n_regionkey) AS DOUBLE) AS w FROM g JOIN nation p ON p.n_nationkey = a JOIN nation q ON q.n_nationkey = b")(
+    lambda spark, d: graph.update_edge_weights(S.nation_graph(spark, d), S.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_regionkey").cast("double").alias("value"))).select("a", "b", "w")
+)
+query("gra_connected_to", f"WITH RECURSIVE {GRAPH}, r AS (SELECT CAST(5 AS BIGINT) AS id UNION SELECT CAST(g.b AS BIGINT) FROM r JOIN g ON g.a = r.id) SELECT id FROM r")(lambda spark, d: graph.is_connected_to(S.nation_graph(spark, d), 5).select("id"))
+query("gra_union_find", "SELECT CAST(min(n_nationkey) AS BIGINT) AS root, CAST(sum(n_nationkey * n_nationkey) AS DOUBLE) AS value FROM nation GROUP BY n_regionkey")(lambda spark, d: _united(spark, d))
+
+
+def _united(spark, d):
+    n = S.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), "n_regionkey")
+    least = n.groupBy("n_regionkey").agg(F.min("id").alias("a"))
+    pairs = n.join(least, "n_regionkey").select("a", F.col("id").alias("b"))
+    return graph.union_find(pairs, n.select("id", (F.col("id") * F.col("id")).cast("double").alias("value"))).select("root", "value")
+
+
+_MAPS = "WITH p AS (SELECT CAST(n_nationkey AS BIGINT) AS label, CAST(n_nationkey % 3 AS BIGINT) AS target FROM nation), q AS (SELECT CAST(n_nationkey + 5 AS BIGINT) AS label, CAST(n_nationkey % 4 AS BIGINT) AS target FROM nation), m AS (SELECT coalesce(p.label, q.label) AS label, coalesce(p.target, 0) AS a, coalesce(q.target, 0) AS b FROM p FULL JOIN q ON q.label = p.label)"
+
+
+def _label_maps(spark, d):
+    k = F.col("n_nationkey").cast("long")
+    n = S.table(spark, d, "nation")
+    return n.select(k.alias("label"), (k % 3).alias("target")), n.select((k + 5).alias("label"), (k % 4).alias("target"))
+
+
+for _name, _run, _sql in (("and", regions.map_and, "CASE WHEN a <> 0 AND b <> 0 THEN a ELSE 0 END"), ("or", regions.map_or, "CASE WHEN a <> 0 THEN a ELSE b END"), ("xor", regions.map_xor, "CASE WHEN a <> 0 AND b <> 0 THEN 0 ELSE a + b END")):
+    query(f"lab_map_{_name}", f"{_MAPS} SELECT label, CAST({_sql} AS BIGINT) AS target FROM m")((lambda run: lambda spark, d: run(*_label_maps(spark, d)).select("label", F.col("target").cast("long").alias("target")))(_run))
+query("lab_map_not", f"{_MAPS} SELECT label, CAST(CASE WHEN target = 0 THEN label ELSE 0 END AS BIGINT) AS target FROM p")(lambda spark, d: regions.map_not(_label_maps(spark, d)[0]).select("label", F.col("target").cast("long").alias("target")))
+query("lab_apply_map", f"WITH {IMG}, {_BANDS} SELECT x, y, CASE WHEN label BETWEEN 2 AND 5 THEN label * 10 ELSE label END :: DOUBLE AS v FROM b")(
+    lambda spark, d: _xy(regions.apply_label_map(_bands(_img(spark, d)), spark.range(2, 6).select(F.col("id").alias("label"), (F.col("id") * 10).alias("target"))))
+)
+query("lab_apply_map_to_measurement", f"WITH {IMG}, {_BANDS} SELECT CASE WHEN label <= 4 THEN label + 10 ELSE label END AS label, count(*) :: DOUBLE AS size FROM b WHERE label <> 2 GROUP BY 1")(
+    lambda spark, d: regions.apply_label_map_to_measurement(regions.label_sizes(_bands(_img(spark, d))), spark.createDataFrame([(1, 11), (2, 0), (3, 13), (4, 14)], "label long, target long")).select("label", F.col("size").cast("double").alias("size"))
+)
+query("lab_list_labels", f"WITH {IMG}, {_BANDS} SELECT DISTINCT label FROM b WHERE x = 0 OR y IN (0, 63) OR x = 63")(lambda spark, d: regions.list_object_labels(_bands(_img(spark, d)), edges_only=True).select("label"))
+query("gra_image_edges", f"WITH {IMG} SELECT CAST(p.x + 64 * p.y AS BIGINT) AS a, CAST(q.x + 64 * q.y AS BIGINT) AS b, abs(p.v - q.v) AS w FROM img p JOIN img q ON q.x = p.x + 1 AND q.y = p.y OR q.x = p.x AND q.y = p.y + 1")(lambda spark, d: regions.edges_table(_img(spark, d), 1).select("a", "b", "w"))
+
+# --- small matrices: one a pixel ------------------------------------------------------------------------------
+
+_symmetric = lambda: F.array(F.col("v") + 500, F.col("x").cast("double"), F.col("x").cast("double"), F.col("y") - 9.0)
+_ROOT = "sqrt(power((v + 500 - (y - 9)) / 2, 2) + x * x)"
+_HALF = "(v + 500 + y - 9) / 2"
+_matrix = lambda: F.array(F.col("v") + 500, F.col("x").cast("double"), F.col("y") - 9.0, F.lit(700.0))
+_DET = "((v + 500) * 700 - x * (y - 9))"
+_SQUARES = "(power(v + 500, 2) + x * x + power(y - 9, 2) + 490000)"
+_SMALL = {
+    "tns_eigenvalues": (lambda r: tensors.eigenvalues(r.map(_symmetric()), 2).map(F.col("v")[0] - 2 * F.col("v")[1]), f"{_HALF} + {_ROOT} - 2 * ({_HALF} - {_ROOT})"),
+    "tns_largest_eigenvalue": (lambda r: tensors.largest_eigenvalue(r.map(_symmetric()), 2), f"{_HALF} + {_ROOT}"),
+    "tns_smallest_eigenvalue": (lambda r: tensors.smallest_eigenvalue(r.map(_symmetric()), 2), f"{_HALF} - {_ROOT}"),
+    "tns_pseudo_inverse": (lambda r: tensors.pseudo_inverse(r.map(_matrix()), 2, 2).map(1e6 * (F.col("v")[0] + 2 * F.col("v")[1] + 3 * F.col("v")[2] + 4 * F.col("v")[3])), f"1e6 * (700 - 2 * x - 3 * (y - 9) + 4 * (v + 500)) / {_DET}"),
+    "tns_singular_values": (lambda r: tensors.singular_values(r.map(_matrix()), 2, 2).map(F.col("v")[0] - 2 * F.col("v")[1]), f"sqrt(({_SQUARES} + sqrt(power({_SQUARES}, 2) - 4 * power({_DET}, 2))) / 2) - 2 * abs({_DET}) / sqrt(({_SQUARES} + sqrt(power({_SQUARES}, 2) - 4 * power({_DET}, 2))) / 2)"),
+    "tns_solve": (lambda r: tensors.solve(r.map(_matrix()), r.map(F.array(F.col("v"), F.lit(5.0))), 2, 2).map(1e3 * (F.col("v")[0] - F.col("v")[1])), f"1e3 * ((v * 700 - x * 5) - (5 * (v + 500) - (y - 9) * v)) / {_DET}"),
+    "tns_rank": (lambda r: tensors.rank(r.map(F.array(F.col("v"), F.lit(0.0), F.lit(0.0), F.when(F.col("x") > 9, 2.0).otherwise(0.0))), 2, 2), "CASE WHEN v <> 0 THEN 1 ELSE 0 END + CASE WHEN x > 9 THEN 1 ELSE 0 END"),
+}
+for _name, (_run, _sql) in _SMALL.items():
+    query(_name, f"WITH {IMG} SELECT x, y, round(CAST({_sql} AS DOUBLE), 5) AS v FROM img")((lambda run: lambda spark, d: _xy(run(_img(spark, d)), 5))(_run))
+
+# --- generated images ----------------------------------------------------------------------------------------
+
+_MADE = "WITH g AS (SELECT CAST(a.x AS INTEGER) AS x, CAST(b.y AS INTEGER) AS y FROM (SELECT unnest(range({})) AS x) a CROSS JOIN (SELECT unnest(range({})) AS y) b)"
+_BELL = [float(np.exp(-0.5 * (k / 2.0) ** 2)) for k in range(-6, 7)]
+query("gen_gauss", f"{_MADE.format(13, 13)} SELECT g.x, g.y, round(exp(-(power(g.x - 6, 2) + power(g.y - 6, 2)) / 8) / power({sum(_BELL)!r}, 2), 8) AS v FROM g")(lambda spark, d: _xy(generators.create_gauss(spark, [2.0, 2.0]), 8))
+query("gen_gabor", f"{_MADE.format(13, 19)} SELECT x, y, round(exp(-power(x - 6, 2) / 8 - power(y - 9, 2) / 18) / (2 * pi() * 6) * cos(2 * pi() * (0.1 * (x - 6) + 0.05 * (y - 9))), 8) AS re, round(exp(-power(x - 6, 2) / 8 - power(y - 9, 2) / 18) / (2 * pi() * 6) * sin(2 * pi() * (0.1 * (x - 6) + 0.05 * (y - 9))), 8) AS im FROM g")(
+    lambda spark, d: generators.create_gabor(spark, [2.0, 3.0], [0.1, 0.05]).df.select("x", "y", F.round(F.col("v")[0], 8).alias("re"), F.round(F.col("v")[1], 8).alias("im"))
+)
+query("gen_incoherent_otf", f"{_MADE.format(32, 32)}, f AS (SELECT x, y, 2 * sqrt(power((x - 16) / 32, 2) + power((y - 16) / 32, 2)) AS f FROM g) SELECT x, y, round(CASE WHEN f < 1 THEN 2 / pi() * (acos(least(f, 1)) - least(f, 1) * sqrt(1 - least(f, 1) * least(f, 1))) ELSE 0 END, 6) AS v FROM f")(lambda spark, d: _xy(microscopy.incoherent_otf(spark, (32, 32))))

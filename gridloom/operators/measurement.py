@@ -30,9 +30,8 @@ KEYS = [ID, "label"]
 def _pixel_features(dims: tuple[str, ...], grey: bool) -> dict[str, Callable[[], list[Column]]]:
     v = F.col("v")
     n = F.count("*").cast("double")
-    index = F.lit(0).cast("long")
-    for d in reversed(dims):
-        index = index * 100_000 + F.col(d)
+    # ties go by the last dimension first, as linear indices do
+    order = lambda sign: [sign * F.col(d) for d in reversed(dims)]
 
     def mu(weight: Column | None) -> list[Column]:
         """Second central moments, plus a twelfth of a pixel's own spread for shapes."""
@@ -70,8 +69,8 @@ def _pixel_features(dims: tuple[str, ...], grey: bool) -> dict[str, Callable[[],
             "DirectionalStatistics": lambda: [F.atan2(F.avg(F.sin(v)), F.avg(F.cos(v))).alias("DirectionalStatistics.mean"), F.sqrt(-2 * F.log(r)).alias("DirectionalStatistics.std")],
             "MaxVal": lambda: [F.max(v).alias("MaxVal")],
             "MinVal": lambda: [F.min(v).alias("MinVal")],
-            "MaxPos": lambda: [F.max_by(F.col(d), F.struct(v, -index)).cast("double").alias(f"MaxPos.{d}") for d in dims],
-            "MinPos": lambda: [F.min_by(F.col(d), F.struct(v, index)).cast("double").alias(f"MinPos.{d}") for d in dims],
+            "MaxPos": lambda: [F.max_by(F.col(d), F.struct(v, *order(-1))).cast("double").alias(f"MaxPos.{d}") for d in dims],
+            "MinPos": lambda: [F.min_by(F.col(d), F.struct(v, *order(1))).cast("double").alias(f"MinPos.{d}") for d in dims],
             "Gravity": lambda: [divided(F.sum(v * F.col(d)), F.sum(v)).alias(f"Gravity.{d}") for d in dims],
             "GreyMu": lambda: mu(v),
             "GreySize": lambda: [F.sum(v).alias("GreySize")],

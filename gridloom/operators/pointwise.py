@@ -255,14 +255,19 @@ def set_border(a: Raster, value: float = 0.0, width: int = 1) -> Raster:
     return a.map(F.when(edge, F.lit(float(value))).otherwise(F.col(a.value)))
 
 
+#: Lookup tables become arrays in the plan; 16 bits' worth is the most.
+LUT_ROWS = 1 << 16
+
+
 def apply_lut(a: Raster, table: DataFrame, interpolation: str = "zero order", outside: str = "clamp") -> Raster:
-    """Values through a lookup table (index double, value double) of bounded size.
+    """Values through a lookup table (index double, value double) of at most ``LUT_ROWS`` rows; a larger one is an error.
 
     "zero order" takes the entry at or below, "nearest" the closest, "linear" between two;
     outside the indices the end entries ("clamp") or the value itself ("keep") are taken.
     """
-    rows = table.agg(F.sort_array(F.collect_list(F.struct("index", "value"))).alias("t"))
-    lut = rows.first()["t"]
+    lut = sorted(table.select("index", "value").limit(LUT_ROWS + 1).collect())
+    if len(lut) > LUT_ROWS:
+        raise ValueError(f"a lookup table of more than {LUT_ROWS} rows; join it instead")
     index, value = F.array(*[F.lit(float(r[0])) for r in lut]), F.array(*[F.lit(float(r[1])) for r in lut])
     v = F.col(a.value)
     below = F.greatest(F.size(F.filter(index, lambda i: i <= v)), F.lit(1))
