@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import types as Y
 from .kernels.filters import gaussian_weights
-from .operators import display, distance, extension, generators, geometry, graph, histogram, linear, microscopy, morphology, nonlinear, pointwise, projection, regions, statistics, tensors, threshold, transform
+from .operators import display, distance, extension, generators, geometry, graph, histogram, linear, measurement, microscopy, morphology, nonlinear, pointwise, projection, regions, statistics, tensors, threshold, transform
 from .queries import _BANDS, _G1, BIN, GRAPH, HIST, IMG, PAIR, STACK, _bands, _bin, _flat, _hist, _img, _offsets, _outer, _point, _xy, query
 from .raster import ID, Raster, combined
 from .sources import tables as S
@@ -497,3 +497,82 @@ query("gen_gabor", f"{_MADE.format(13, 19)} SELECT x, y, round(exp(-power(x - 6,
     lambda spark, d: generators.create_gabor(spark, [2.0, 3.0], [0.1, 0.05]).df.select("x", "y", F.round(F.col("v")[0], 8).alias("re"), F.round(F.col("v")[1], 8).alias("im"))
 )
 query("gen_incoherent_otf", f"{_MADE.format(32, 32)}, f AS (SELECT x, y, 2 * sqrt(power((x - 16) / 32, 2) + power((y - 16) / 32, 2)) AS f FROM g) SELECT x, y, round(CASE WHEN f < 1 THEN 2 / pi() * (acos(least(f, 1)) - least(f, 1) * sqrt(1 - least(f, 1) * least(f, 1))) ELSE 0 END, 6) AS v FROM f")(lambda spark, d: _xy(microscopy.incoherent_otf(spark, (32, 32))))
+
+
+# --- rasters larger than a tile -----------------------------------------------------------------------------
+
+_WIDE = """grid AS (SELECT CAST(a.x AS INTEGER) AS x, CAST(b.y AS INTEGER) AS y FROM (SELECT unnest(range(640)) AS x) a CROSS JOIN (SELECT unnest(range(640)) AS y) b),
+img AS (SELECT g.x, g.y, coalesce(s.v, 0) AS v FROM grid g LEFT JOIN (
+  SELECT l_orderkey % 640 AS x, (l_partkey * 31 + l_suppkey * 17) % 640 AS y, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2) s ON s.x = g.x AND s.y = g.y)"""
+
+
+def _line(name: str, source: str, dim: str, offsets, aggregate: str, inside: bool = False) -> str:
+    """One pass of a separable filter along a dimension of the wide image, as a window over its lines."""
+    other, reach = "y" if dim == "x" else "x", max(abs(k) for k, _ in offsets)
+    if inside:
+        fold = aggregate.replace("q.v", "v")
+        return f"{name} AS (SELECT x, y, {fold} OVER (PARTITION BY {other} ORDER BY {dim} ROWS BETWEEN {reach} PRECEDING AND {reach} FOLLOWING) AS v FROM {source})"
+    total = " + ".join(f"{w!r} * lead(v, {k}) OVER l" for k, w in offsets)
+    mirrored = f"SELECT CAST(k.k AS INTEGER) AS {dim}, {other}, v FROM (SELECT unnest(range({-reach}, {640 + reach})) AS k) k JOIN {source} s ON s.{dim} = 639 - abs(639 - abs(k.k))"
+    return f"{name} AS (SELECT x, y, v FROM (SELECT x, y, {total} AS v FROM ({mirrored}) WINDOW l AS (PARTITION BY {other} ORDER BY {dim})) WHERE {dim} BETWEEN 0 AND 639)"
+
+
+_G2 = [(len(gaussian_weights(2.0)) // 2 - i, float(w)) for i, w in enumerate(gaussian_weights(2.0))]
+_FIVE = [(k, 1.0) for k in range(-2, 3)]
+_FIFTH = [(k, 0.2) for k in range(-2, 3)]
+_WIDE_QUERIES = {
+    "tile_gauss": (lambda r: linear.gauss(r, [2.0, 2.0]), [_line("a", "img", "x", _G2, _SUM), _line("b", "a", "y", _G2, _SUM)]),
+    "tile_dilation": (lambda r: morphology.dilation(r, 5, "rectangular"), [_line("a", "img", "x", _FIVE, _MAX, True), _line("b", "a", "y", _FIVE, _MAX, True)]),
+    "tile_opening": (lambda r: morphology.opening(r.map(500 - F.col("v")), 5, "rectangular"), ["c AS (SELECT x, y, 500 - v AS v FROM img)", _line("d", "c", "x", _FIVE, _MIN, True), _line("e", "d", "y", _FIVE, _MIN, True), _line("f", "e", "x", _FIVE, _MAX, True), _line("b", "f", "y", _FIVE, _MAX, True)]),
+    "tile_uniform": (lambda r: linear.uniform(r, 5, "rectangular"), [_line("a", "img", "x", _FIFTH, _SUM), _line("b", "a", "y", _FIFTH, _SUM)]),
+}
+for _name, (_run, _ctes) in _WIDE_QUERIES.items():
+    query(_name, f"WITH {_WIDE}, {', '.join(_ctes)} SELECT x, y, round(CAST(v AS DOUBLE), 6) AS v FROM b")((lambda run: lambda spark, d: _xy(run(S.wide_image(spark, d))))(_run))
+query("tile_gradient_magnitude", f"WITH {_WIDE}, {_line('a', 'img', 'x', [(len(_D1) // 2 - i, float(w)) for i, w in enumerate(_D1)], _SUM)}, {_line('b', 'a', 'y', [(len(_G1) // 2 - i, float(w)) for i, w in enumerate(_G1)], _SUM)}, {_line('c', 'img', 'x', [(len(_G1) // 2 - i, float(w)) for i, w in enumerate(_G1)], _SUM)}, {_line('e', 'c', 'y', [(len(_D1) // 2 - i, float(w)) for i, w in enumerate(_D1)], _SUM)} SELECT b.x, b.y, round(sqrt(b.v * b.v + e.v * e.v), 6) AS v FROM b JOIN e ON e.x = b.x AND e.y = b.y")(
+    lambda spark, d: _xy(linear.gradient_magnitude(S.wide_image(spark, d)))
+)
+
+# --- features of objects --------------------------------------------------------------------------------------
+
+# four rectangles; outlines run through the middles of the outer pixels' edges, so a hull lacks four corner triangles of 1 / 8
+_QUARTERS = f"WITH {IMG}, b AS (SELECT CAST(1 + CASE WHEN x >= 20 THEN 1 ELSE 0 END + CASE WHEN y >= 45 THEN 2 ELSE 0 END AS BIGINT) AS label, x, y, v FROM img)"
+# fixed values: lengths of straight steps and of corners in a chain code
+_RECTANGLES = f"{_QUARTERS}, r AS (SELECT label, count(*) :: DOUBLE AS n, (max(x) - min(x) + 1) :: DOUBLE AS w, (max(y) - min(y) + 1) :: DOUBLE AS h FROM b GROUP BY label), f AS (SELECT *, 0.98 * 2 * (w + h - 2) - 4 * 0.091 + pi() AS p, n - 0.5 AS hull, sqrt(greatest(w * w + (h - 1) * (h - 1), (w - 1) * (w - 1) + h * h)) AS far FROM r)"
+
+
+def _quarters(r: Raster) -> Raster:
+    return r.map(1.0 + (F.col("x") >= 20).cast("double") + 2 * (F.col("y") >= 45).cast("double"))
+
+
+_OUTLINE = {
+    "Perimeter": "p", "Feret.Max": "far", "Feret.Min": "least(w, h)", "Feret.PerpMin": "greatest(w, h)", "SolidArea": "n", "ConvexArea": "hull", "ConvexPerimeter": "2 * (w - 1) + 2 * (h - 1) + 4 * sqrt(0.5)", "Radius.Max": "far / 2",
+    "AspectRatioFeret": "greatest(w, h) / least(w, h)", "P2A": "p * p / (4 * pi() * n)", "Roundness": "4 * pi() * n / (p * p)", "Solidity": "n / hull", "Convexity": "least(1, (2 * (w - 1) + 2 * (h - 1) + 4 * sqrt(0.5)) / p)",
+    "PodczeckShapes.Square": "n / (w * h)", "PodczeckShapes.Circle": "n / (pi() / 4 * power(greatest(w, h), 2))", "PodczeckShapes.Triangle": "n / (w * h / 2)", "PodczeckShapes.Ellipse": "n / (pi() / 4 * w * h)", "PodczeckShapes.Elongation": "far / least(w, h)",
+}
+_called = lambda f: f.lower().replace(".", "_")
+for _feature in dict.fromkeys(f.split(".")[0] for f in _OUTLINE):
+    _columns = {f: s for f, s in _OUTLINE.items() if f.split(".")[0] == _feature}
+    query(f"msr_{_called(_feature)}", f"{_RECTANGLES} SELECT label, {', '.join(f'round(CAST({s} AS DOUBLE), 6) AS {_called(f)}' for f, s in _columns.items())} FROM f")(
+        (lambda name, columns: lambda spark, d: measurement.measure(_quarters(_img(spark, d)), None, [name]).select("label", *[F.round(f"`{c}`", 6).alias(_called(c)) for c in columns]))(_feature, list(_columns))
+    )
+
+_GREY = {
+    "Minimum.x": "min(x)", "Maximum.x": "max(x)", "CartesianBox.y": "max(y) - min(y) + 1", "Center.y": "avg(y)", "Mass": "sum(v)", "Mean": "avg(v)", "StandardDeviation": "stddev_samp(v)", "MaxVal": "max(v)", "MinVal": "min(v)",
+    "MaxPos.y": "arg_max(y, v * 100000 - (x + 64 * y))", "MinPos.y": "arg_min(y, v * 100000 + (x + 64 * y))", "Gravity.y": "sum(v * y) / sum(v)", "GreyMu.xy": "sum(v * x * y) / sum(v) - sum(v * x) / sum(v) * sum(v * y) / sum(v)", "Mu.yy": "avg(y * y) - avg(y) ** 2 + 1 / 12.0",
+    "Statistics.std": "stddev_samp(v)", "DirectionalStatistics.std": "sqrt(-2 * ln(sqrt(power(avg(sin(v)), 2) + power(avg(cos(v)), 2))))",
+}
+for _feature, _sql in _GREY.items():
+    query(f"msr_object_{_called(_feature)}", f"{_QUARTERS} SELECT label, round(CAST({_sql} AS DOUBLE), 6) AS v FROM b GROUP BY label")(
+        (lambda c: lambda spark, d: measurement.measure(_quarters((r := _img(spark, d))), r, [c.split(".")[0]]).select("label", F.round(f"`{c}`", 6).alias("v")))(_feature)
+    )
+_AXES = "sum(v * x * x) / sum(v) - power(sum(v * x) / sum(v), 2) AS xx, sum(v * x * y) / sum(v) - sum(v * x) / sum(v) * sum(v * y) / sum(v) AS xy, sum(v * y * y) / sum(v) - power(sum(v * y) / sum(v), 2) AS yy"
+query("msr_greymajoraxes", f"{_QUARTERS}, m AS (SELECT label, {_AXES} FROM b GROUP BY label) SELECT label, round(abs(cos(atan2(2 * xy, xx - yy) / 2)), 5) AS u, round(abs(sin(atan2(2 * xy, xx - yy) / 2)), 5) AS w FROM m")(
+    lambda spark, d: measurement.measure(_quarters((r := _img(spark, d))), r, ["GreyMajorAxes"]).select("label", F.round(F.abs("`GreyMajorAxes.0`"), 5).alias("u"), F.round(F.abs("`GreyMajorAxes.1`"), 5).alias("w"))
+)
+query("msr_feature", f"{_QUARTERS} SELECT label, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM b GROUP BY label")(
+    lambda spark, d: measurement.feature(measurement.measure(_quarters(_img(spark, d)), None, ["Size", "Center"]), "Center").select("label", F.round("`Center.x`", 6).alias("x"), F.round("`Center.y`", 6).alias("y"))
+)
+_MEANS = f"{_QUARTERS}, m AS (SELECT label, avg(v) AS m FROM b GROUP BY label)"
+query("msr_table_maximum_and_minimum", f"{_MEANS} SELECT round(max(m), 6) AS maximum, round(min(m), 6) AS minimum FROM m")(
+    lambda spark, d: _flat(measurement.maximum_and_minimum(measurement.measure(_quarters((r := _img(spark, d))), r, ["Mean"]), "Mean"), "maximum", "minimum")
+)

@@ -53,3 +53,11 @@ def nation_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     pairs = items.join(o, "l_orderkey").join(c, "o_custkey").join(s, "l_suppkey").where("cn <> sn")
     return pairs.groupBy(F.least("cn", "sn").cast("long").alias("a"), F.greatest("cn", "sn").cast("long").alias("b")).agg(F.count("*").cast("double").alias("w"))
+
+
+def wide_image(spark: SparkSession, sf_dir: str, side: int = 640) -> Raster:
+    """side x side: total quantity by order and part, larger than a tile of the filters."""
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % side).cast("int").alias("x"), ((F.col("l_partkey") * 31 + F.col("l_suppkey") * 17) % side).cast("int").alias("y"), F.col("l_quantity").alias("q"))
+    sums = rows.groupBy("x", "y").agg(F.sum("q").alias("v"))
+    ids = spark.range(1).select(F.col("id").alias("image_id"))
+    return from_points(sums.select(F.lit(0).cast("long").alias("image_id"), "x", "y", "v"), (side, side), ids=ids)
