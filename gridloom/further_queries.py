@@ -6,14 +6,18 @@ They add to the tables in ``queries``; the images and the rounding are the same.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from .functions import types as Y
 from .kernels.filters import gaussian_weights
 from .operators import display, distance, extension, generators, geometry, graph, histogram, linear, measurement, microscopy, morphology, nonlinear, pointwise, projection, regions, statistics, tensors, threshold, transform
+from .plans.engine import per_image
 from .queries import _BANDS, _G1, BIN, GRAPH, HIST, IMG, PAIR, STACK, _bands, _bin, _flat, _hist, _img, _offsets, _outer, _point, _xy, query
 from .raster import ID, Raster, combined
+from .sources import files
 from .sources import tables as S
+from .streaming import events as E
 
 _BOX = _offsets(np.ones((3, 3)))
 _BOX5 = _offsets(np.ones((5, 5)))
@@ -576,3 +580,64 @@ _MEANS = f"{_QUARTERS}, m AS (SELECT label, avg(v) AS m FROM b GROUP BY label)"
 query("msr_table_maximum_and_minimum", f"{_MEANS} SELECT round(max(m), 6) AS maximum, round(min(m), 6) AS minimum FROM m")(
     lambda spark, d: _flat(measurement.maximum_and_minimum(measurement.measure(_quarters((r := _img(spark, d))), r, ["Mean"]), "Mean"), "maximum", "minimum")
 )
+
+# --- openings by area and along paths ---------------------------------------------------------------------------
+
+# six levels of grey; a region of a level takes its smallest index from its neighbours, round by round
+_LEVELS = f"{IMG}, six AS (SELECT x, y, CAST(floor(6 * v / (SELECT max(v) + 1 FROM img)) AS INTEGER) AS v FROM img)"
+_REGIONS = f"""{_LEVELS}, s AS (SELECT t, x, y FROM six CROSS JOIN (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS t) WHERE {{inside}}),
+r(k, t, x, y, c) AS (SELECT 0, t, x, y, x + 64 * y FROM s UNION ALL
+  SELECT p.k + 1, p.t, p.x, p.y, min(q.c) FROM r p CROSS JOIN (VALUES {", ".join(f"({x}, {y})" for x in (-1, 0, 1) for y in (-1, 0, 1))}) o(dx, dy) JOIN r q ON q.t = p.t AND q.x = p.x + o.dx AND q.y = p.y + o.dy WHERE p.k < 200 GROUP BY p.k, p.t, p.x, p.y),
+n AS (SELECT t, x, y, count(*) OVER (PARTITION BY t, c) AS n FROM r WHERE k = 200)"""
+
+
+def _six(spark, d) -> Raster:
+    r = _img(spark, d)
+    top = r.df.groupBy(ID).agg((F.max("v") + 1).alias("_m"))
+    return r.using(r.df.join(top, ID).select(*r.keys, F.floor(6 * F.col("v") / F.col("_m")).cast("double").alias("v")))
+
+
+query("mor_area_opening", f"WITH RECURSIVE {_REGIONS.format(inside='v >= t')} SELECT i.x, i.y, CAST(coalesce(max(t) FILTER (n >= 30), 0) AS DOUBLE) AS v FROM six i LEFT JOIN n ON n.x = i.x AND n.y = i.y GROUP BY i.x, i.y")(lambda spark, d: _xy(morphology.area_opening(_six(spark, d), size=30)))
+query("mor_area_closing", f"WITH RECURSIVE {_REGIONS.format(inside='v <= 5 - t')} SELECT i.x, i.y, CAST(5 - coalesce(max(t) FILTER (n >= 30), 0) AS DOUBLE) AS v FROM six i LEFT JOIN n ON n.x = i.x AND n.y = i.y GROUP BY i.x, i.y")(lambda spark, d: _xy(morphology.area_closing(_six(spark, d), size=30)))
+_PATHS = f"""{_LEVELS}, s AS (SELECT t, x, y FROM six CROSS JOIN (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS t) WHERE v >= t),
+f(k, t, x, y) AS (SELECT 1, t, x, y FROM s UNION SELECT f.k + 1, s.t, s.x, s.y FROM f JOIN s ON s.t = f.t AND s.x = f.x + 1 AND abs(s.y - f.y) <= 1 WHERE f.k < 5),
+g(k, t, x, y) AS (SELECT 1, t, x, y FROM s UNION SELECT g.k + 1, s.t, s.x, s.y FROM g JOIN s ON s.t = g.t AND s.x = g.x - 1 AND abs(s.y - g.y) <= 1 WHERE g.k < 5),
+a AS (SELECT t, x, y, max(k) AS k FROM f GROUP BY t, x, y), b AS (SELECT t, x, y, max(k) AS k FROM g GROUP BY t, x, y),
+n AS (SELECT a.t, a.x, a.y FROM a JOIN b ON b.t = a.t AND b.x = a.x AND b.y = a.y WHERE a.k + b.k - 1 >= 5)"""
+query("mor_directed_path_opening", f"WITH RECURSIVE {_PATHS} SELECT i.x, i.y, CAST(coalesce(max(t), (SELECT min(v) FROM six)) AS DOUBLE) AS v FROM six i LEFT JOIN n ON n.x = i.x AND n.y = i.y GROUP BY i.x, i.y")(
+    lambda spark, d: _xy(morphology.directed_path_opening(_six(spark, d), direction=(1, 0), length=5))
+)
+
+# --- file formats: images written to bytes and read back --------------------------------------------------------
+
+_WHOLE = lambda a: np.round(a).astype(np.int64)
+for _name, _back in (
+    ("png", lambda a: files.read_png(files.write_png(_WHOLE(a)))), ("tiff", lambda a: files.read_tiff(files.write_tiff(_WHOLE(a)))), ("tiff_deflate", lambda a: files.read_tiff(files.write_tiff(_WHOLE(a), "deflate"))),
+    ("ics", lambda a: files.read_ics(files.write_ics(a))), ("npy", lambda a: files.read_npy(files.write_npy(a))),
+):
+    query(f"io_{_name}", f"WITH {STACK} SELECT image_id, x, y, v FROM stack")((lambda back: lambda spark, d: per_image(lambda a: back(a).astype(float), S.lineitem_stack(spark, d)).df.select(ID, "x", "y", "v"))(_back))
+
+
+def _information(format: str):
+    def run(spark, d):
+        table = files.encoded(S.lineitem_stack(spark, d), format, True)
+
+        @F.pandas_udf("width int, height int, sample string")
+        def read(content: pd.Series) -> pd.DataFrame:
+            found = [{"png": files.info_png, "tiff": files.info_tiff}[format](bytes(c)) for c in content]
+            return pd.DataFrame([(*sizes, kind) for sizes, kind in found], columns=["width", "height", "sample"])
+
+        return table.where(files.is_kind(F.col("content"), format)).select(ID, read("content").alias("i")).select(ID, "i.*")
+
+    return run
+
+
+for _name in ("png", "tiff"):
+    query(f"io_information_{_name}", f"WITH {STACK} SELECT image_id, CAST(64 AS INTEGER) AS width, CAST(64 AS INTEGER) AS height, CASE WHEN max(v) > 255 THEN 'uint16' ELSE 'uint8' END AS sample FROM stack GROUP BY image_id")(_information(_name))
+
+# --- streams, as batches over the whole table ---------------------------------------------------------------------
+
+query("evt_histogram", "SELECT CAST(least(greatest(floor((value - 0) / (100.0 / 64)), 0), 63) AS INTEGER) AS bin, count(*) AS n FROM events GROUP BY 1")(
+    lambda spark, d: E.streaming_histogram(S.table(spark, d, "events"), 0.0, 100.0).select("bin", F.col("count").alias("n"))
+)
+query("evt_threshold", "SELECT event_id, value FROM events WHERE value >= 75")(lambda spark, d: E.streaming_threshold(S.table(spark, d, "events"), 75.0).select("event_id", "value"))

@@ -16,7 +16,7 @@ NAMES = [
     "hist_marginal_median", "tns_expand_singleton", "tns_reshape", "ctr_chain_to_eight", "ctr_chain_feret", "ctr_polygon_contains",
     "flt_dgg", "flt_general", "flt_convolve_ft", "mor_lee", "mor_reconstruction", "mor_impose_minima", "mor_maxima", "thr_hysteresis", "bin_isotropic_closing", "bin_union_sup_generating",
     "geo_resampling_cubic", "geo_affine", "geo_resample_at", "geo_split_dimension", "ft_spectrum", "ft_haar", "hist_regression", "dst_differentiate", "dst_set_sampling", "typ_clamp_cast",
-    "stat_ssim", "stat_noise_variance", "gra_union_find", "gra_connected_to", "lab_map_xor", "lab_apply_map_to_measurement", "tns_singular_values", "gen_gabor", "px_apply_lut_linear", "msr_grey", "tile_gauss", "tile_opening", "msr_feret", "msr_perimeter", "msr_greymajoraxes",
+    "stat_ssim", "stat_noise_variance", "gra_union_find", "gra_connected_to", "lab_map_xor", "lab_apply_map_to_measurement", "tns_singular_values", "gen_gabor", "px_apply_lut_linear", "msr_grey", "tile_gauss", "tile_opening", "msr_feret", "msr_perimeter", "msr_greymajoraxes", "mor_area_opening", "mor_directed_path_opening", "io_png", "io_ics", "io_information_tiff",
 ]
 
 
