@@ -9,14 +9,15 @@ article or main element, with text in an element whose class marks it as content
 kind is each page's own, and each kind of a host has its own template: the content of the first
 two is what lies inside.
 
-Templates are partial aggregates: tasks fold their own pages, and folded templates are folded
-again, so a host with a third of all pages meets no single task with its pages.
+Templates are partial aggregates: tasks fold their own pages and hand their templates on as one row
+a slot.  Slots of one path add up over all tasks, as they do when whole trees are matched, since
+equal siblings are joined wherever they stand.  So no task meets all pages or all slots of a host,
+and no slot is forgotten, however many siblings it has.
 """
 
 from __future__ import annotations
 
 import html
-import json
 import re
 
 import pandas as pd
@@ -26,9 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-#: Hosts whose templates a task holds before it hands them on.
-HOSTS = 1000
-SALTS = 64
+#: Templates, slots of one template and slots of all templates that a task holds before it hands them on.
+HOLDS = 1000, 4000, 100_000
+#: Rows of slots that a task hands on at once.
+ROWS = 10_000
+#: The kind that stands for all pages of a host.
+ANY = "any"
 #: Bytes of wrappers up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
 
@@ -57,8 +61,6 @@ DOUBTFUL = frozenset(
 )
 #: Elements nested deeper hang on their ancestor at this depth, in page order; no text is lost.
 DEPTH = 100
-#: Children of a template node beyond which those of a single page are forgotten; a slot that is no template node is content.
-WIDE = 400
 HEADERS = frozenset({"header", "topbar", "site-header"})
 CONTENT = frozenset("article articlebody content entry main post story maincontent".split())
 
@@ -175,52 +177,78 @@ def parsed(text: str) -> Node:
 # --- templates ---------------------------------------------------------------------------------
 #
 # A template node is a dict: s signature, n pages, h hash of the text (None where pages differ),
-# t characters, l characters in links, c children, which have distinct signatures.
+# t characters, l characters in links, p whether some page has text there that isn't mostly links,
+# c children, which have distinct signatures.
 
 
 def _folded(node: Node) -> dict:
     """The template of one page: equal siblings are folded into one slot."""
     texts = [(i if isinstance(i, str) else i[0]) for i in node.items if not isinstance(i, Node)]
     own = " ".join("".join(texts).split())
-    links = sum(len(i[0].strip()) for i in node.items if isinstance(i, tuple))
+    size = len(own)
+    links = min(sum(len(i[0].strip()) for i in node.items if isinstance(i, tuple)), size)
     children: dict[str, dict] = {}
     for child in node.items:
         if isinstance(child, Node):
             one = _folded(child)
             known = children.get(one["s"])
             children[one["s"]] = one if known is None else _same_page(known, one)
-    return {"s": node.sig, "n": 1, "h": xxhash.xxh64_intdigest(own) if own else 0, "t": len(own), "l": min(links, len(own)), "c": list(children.values())}
+    return {"s": node.sig, "n": 1, "h": xxhash.xxh64_intdigest(own) if own else 0, "t": size, "l": links, "p": 0 < size >= links * 2, "c": list(children.values())}
 
 
 def _same_page(a: dict, b: dict) -> dict:
     hash_ = a["h"] if not b["h"] else b["h"] if not a["h"] else xxhash.xxh64_intdigest(f"{a['h']},{b['h']}")
-    return {"s": a["s"], "n": 1, "h": hash_, "t": a["t"] + b["t"], "l": a["l"] + b["l"], "c": _children(a["c"], b["c"], _same_page)}
+    size, links = a["t"] + b["t"], a["l"] + b["l"]
+    return {"s": a["s"], "n": 1, "h": hash_, "t": size, "l": links, "p": 0 < size >= links * 2, "c": _children(a["c"], b["c"], _same_page)}
+
+
+def _common(a: list[dict], b: list[dict]) -> tuple[list[tuple[int, int]], bool]:
+    """The pairs of equal signature of two lists, and whether they stand in one order in both."""
+    at = {y["s"]: j for j, y in enumerate(b)}
+    pairs = [(i, at[x["s"]]) for i, x in enumerate(a) if x["s"] in at]
+    return pairs, all(p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+
+
+def _heaviest(pairs: list[tuple[int, int]], sizes: list[int], width: int) -> tuple[list[tuple[int, int]], int]:
+    """Of pairs that ascend in the first place, those of greatest total size that ascend in both, and that size."""
+    total, before = [], []
+    best = [-1] * (width + 1)  # a Fenwick tree: the heaviest chain's last pair up to each place
+    for k, (_, j) in enumerate(pairs):
+        last, at = -1, j
+        while at:
+            if best[at] >= 0 and (last < 0 or total[best[at]] > total[last]):
+                last = best[at]
+            at &= at - 1
+        total.append(sizes[k] + (total[last] if last >= 0 else 0))
+        before.append(last)
+        at = j + 1
+        while at <= width:
+            if best[at] < 0 or total[k] > total[best[at]]:
+                best[at] = k
+            at += at & -at
+    k = max(range(len(pairs)), key=total.__getitem__)
+    size, chain = total[k], []
+    while k >= 0:
+        chain.append(pairs[k])
+        k = before[k]
+    return chain[::-1], size
 
 
 def aligned(a: list[dict], b: list[dict]) -> list[tuple[int, int]]:
-    """Simple tree matching of two ordered lists: the pairs of equal signature of greatest total size."""
-    score = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best = max(score[i + 1][j], score[i][j + 1])
-            if a[i]["s"] == b[j]["s"]:
-                best = max(best, score[i + 1][j + 1] + 1 + matched(a[i]["c"], b[j]["c"]))
-            score[i][j] = best
-    pairs, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if score[i][j] == score[i + 1][j]:
-            i += 1
-        elif score[i][j] == score[i][j + 1]:
-            j += 1
-        else:
-            pairs.append((i, j))
-            i, j = i + 1, j + 1
-    return pairs
+    """Simple tree matching of two ordered lists of distinct signatures: the pairs of equal signature of greatest total size."""
+    pairs, ordered = _common(a, b)
+    return pairs if ordered else _heaviest(pairs, _sizes(a, b, pairs), len(b))[0]
 
 
 def matched(a: list[dict], b: list[dict]) -> int:
     """Nodes that the best alignment of two lists of subtrees pairs."""
-    return sum(1 + matched(a[i]["c"], b[j]["c"]) for i, j in aligned(a, b)) if a and b else 0
+    pairs, ordered = _common(a, b)
+    sizes = _sizes(a, b, pairs)
+    return sum(sizes) if ordered else _heaviest(pairs, sizes, len(b))[1]
+
+
+def _sizes(a: list[dict], b: list[dict], pairs: list[tuple[int, int]]) -> list[int]:
+    return [1 + matched(a[i]["c"], b[j]["c"]) for i, j in pairs]
 
 
 def _children(a: list[dict], b: list[dict], join) -> list[dict]:
@@ -247,9 +275,11 @@ def joined(a: dict, b: dict) -> dict:
     """The template of both templates' pages."""
     same = a["h"] == b["h"]
     below = _children(a["c"], b["c"], joined)
-    if len(below) > WIDE:
-        below = [x for x in below if x["n"] > 1]
-    return {"s": a["s"], "n": a["n"] + b["n"], "h": a["h"] if same else None, "t": a["t"] + b["t"], "l": a["l"] + b["l"], "c": below}
+    return {"s": a["s"], "n": a["n"] + b["n"], "h": a["h"] if same else None, "t": a["t"] + b["t"], "l": a["l"] + b["l"], "p": a["p"] or b["p"], "c": below}
+
+
+def _nodes(node: dict) -> int:
+    return 1 + sum(map(_nodes, node["c"]))
 
 
 # --- wrappers ----------------------------------------------------------------------------------
@@ -269,15 +299,21 @@ def _has_container(node: dict) -> bool:
     return any(_is_container(c["s"]) or _has_container(c) for c in node["c"])
 
 
-def _is_left_out(node: dict, inside: bool) -> bool:
-    tag, words = _words(node["s"])
+def _left_out(signature: str, inside: bool) -> bool | None:
+    """Whether a slot is left out by its tag or class; None where it is unless a container lies in it."""
+    tag, words = _words(signature)
     if tag in DROPPED:
-        return not (tag == "form" and _has_container(node))
+        return None if tag == "form" else True
     if tag in ("html", "body", "main", "root"):
         return False
     if tag == "header" and not inside or not inside and HEADERS.intersection(words) and not CONTENT.intersection(words):
-        return not _has_container(node)
-    return bool(BOILERPLATE.intersection(words)) and not _has_container(node)
+        return None
+    return None if BOILERPLATE.intersection(words) else False
+
+
+def _is_left_out(node: dict, inside: bool) -> bool:
+    out = _left_out(node["s"], inside)
+    return not _has_container(node) if out is None else out
 
 
 def _slots(node: dict, path: str = "", inside: bool = False, doubtful: bool = False):
@@ -307,45 +343,62 @@ def kind_of(page: dict) -> str:
     return _kind(list(_slots(page)))
 
 
-def induced(template: dict, whole: dict | None = None) -> dict[str, list[str]]:
-    """What a host's pages of one kind say of its slots: ``same`` are constant, ``links`` mostly links, ``vary`` doubtful ones that vary.
+def _id(path: str) -> str:
+    """What stands for a path in rows and wrappers: 128 bits, however deep the slot."""
+    return xxhash.xxh3_128_hexdigest(path)
 
-    Constancy counts from three pages on, of which not all are the same text, over the pages of
-    the kind or of the host (``whole``).
-    """
-    found = list(_slots(template))
-    constant = _constant(found, template["n"])
-    vary = {p for p, n, _, doubtful in found if doubtful and n["n"] >= 3 and n["h"] is None and n["l"] * 2 <= n["t"]}
-    if whole is not None:
-        every = list(_slots(whole))
-        constant |= _constant(every, whole["n"])
-    return {"same": sorted(constant), "links": [p for p, n, *_ in found if n["l"] * 2 > n["t"]], "vary": sorted(vary - constant)}
 
+def _rows(node: dict, path: str = "", inside: bool = False, asks: tuple[str, ...] = ()):
+    """(path, asks, n, h, t, l, p, has) of each slot of a template that isn't left out whatever lies in it.
 
-def _constant(found: list[tuple], pages: int) -> set[str]:
-    """The paths of slots whose text is the same on most pages, where others vary."""
-    if not any(n["h"] is None for _, n, *_ in found):
-        return set()
-    return {p for p, n, *_ in found if n["n"] >= 3 and n["n"] * 2 > pages and n["h"] not in (None, 0)}
+    ``asks`` names the slots around it, itself included, that count by whether any page has a container in
+    them (``has``): without one, those after ``-`` are left out and those after ``?`` doubtful.
+    """
+    path = f"{path}/{node['s']}"
+    out = _left_out(node["s"], inside)
+    if out:
+        return
+    id_, known = _id(path), len(asks)
+    if out is None:
+        asks += (f"-{id_}",)
+    if DOUBTFUL.intersection(_words(node["s"])[1]):
+        asks += (f"?{id_}",)
+    inside = inside or _is_container(node["s"])
+    h = node["h"] if node["h"] is None or node["h"] < 1 << 63 else node["h"] - (1 << 64)
+    yield id_, ",".join(asks), node["n"], h, node["t"], node["l"], node["p"], len(asks) > known and _has_container(node)
+    for child in node["c"]:
+        yield from _rows(child, path, inside, asks)
 
 
 def _text(node: dict) -> int:
     return node["t"] + sum(map(_text, node["c"]))
 
 
+def rules_of(slots: str) -> dict[str, dict[str, set[str]]]:
+    """What a wrapper says of slots, by kind of page."""
+    rules: dict[str, dict[str, set[str]]] = {}
+    for line in slots.split("\n") if slots else []:
+        kind, what, path = line.split(" ")
+        rules.setdefault(kind, {"same": set(), "links": set(), "vary": set()})[what].add(path)
+    return rules
+
+
 def chosen(page: dict, rules: dict[str, dict[str, set[str]]]) -> set[str]:
     """The paths of a page's content slots: those of its kind that its host's rules don't make template."""
     found = list(_slots(page))
     kind = _kind(found)
-    rule = rules.get(kind, {"same": set(), "links": set(), "vary": set()})
+    none: dict[str, set[str]] = {"same": set(), "links": set(), "vary": set()}
+    rule = rules.get(kind, none)
+    same = rules.get(ANY, none)["same"]
+    ids = {x[0]: _id(x[0]) for x in found} if rules else dict.fromkeys((x[0] for x in found), "")
     if kind == "container":
         found = [x for x in found if x[2]]
     elif kind == "marked":
         marked = _marked(found)
         found = [x for x in found if any((x[0] + "/").startswith(p + "/") for p in marked)]
     else:
-        found = [x for x in found if x[0] not in rule["links"] and x[1]["l"] * 2 <= x[1]["t"]]
-    return {p for p, _, _, doubtful in found if p not in rule["same"] and (not doubtful or p in rule["vary"])}
+        found = [x for x in found if ids[x[0]] not in rule["links"] and x[1]["l"] * 2 <= x[1]["t"]]
+    return {p for p, _, _, doubtful in found if ids[p] not in rule["same"] and ids[p] not in same and (not doubtful or ids[p] in rule["vary"])}
 
 
 def extracted(text: str, rules: dict[str, dict[str, set[str]]]) -> str:
@@ -377,49 +430,86 @@ def host_of(column: str = "url"):
     return F.lower(F.coalesce(F.regexp_extract(column, r"://([^/?#]*)", 1), F.lit("")))
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, slots): the wrapper of each host by kind of page, from all of its pages (host, html)."""
+def slot_rows(pages: DataFrame, holds: tuple[int, int, int] = HOLDS) -> DataFrame:
+    """The slots of the templates that tasks fold of their own pages (host, html); a template that grows is handed on."""
+    hosts, slots, held_slots = holds
 
     def fold(batches):
         held: dict[tuple[str, str], dict] = {}
-
-        def given():
-            keys = list(held)
-            return pd.DataFrame({"host": [h for h, _ in keys], "kind": [k for _, k in keys], "template": [json.dumps(held[k]) for k in keys]})
+        sizes: dict[tuple[str, str], int] = {}  # at most so many slots
+        total = 0
+
+        def given(keys):
+            out = []
+            for key in keys:
+                sizes.pop(key)
+                for row in _rows(held.pop(key)):
+                    out.append((*key, *row))
+                    if len(out) == ROWS:
+                        yield framed(out)
+                        out = []
+            if out:
+                yield framed(out)
+
+        def framed(out):
+            frame = pd.DataFrame(out, columns=["host", "kind", "path", "asks", "n", "h", "t", "l", "p", "has"])
+            return frame.assign(h=pd.array([r[5] for r in out], "Int64"))
 
         for batch in batches:
             for host, text in zip(batch["host"], batch["html"]):
                 one = _folded(parsed(text if isinstance(text, str) else ""))
-                key = host, kind_of(one)
+                key, more = (host, kind_of(one)), _nodes(one)
                 held[key] = joined(held[key], one) if key in held else one
-                if len(held) > HOSTS:
-                    yield given()
-                    held.clear()
-        if held:
-            yield given()
-
-    def merge(templates) -> dict:
-        out = None
-        for t in templates:
-            out = json.loads(t) if out is None else joined(out, json.loads(t))
-        return out
-
-    def refold(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        kinds = frame.groupby("kind")["template"]
-        return pd.DataFrame([(key[0], kind, json.dumps(merge(ts))) for kind, ts in kinds], columns=["host", "kind", "template"])
-
-    def finish(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        kinds = {kind: merge(ts) for kind, ts in frame.groupby("kind")["template"]}
-        whole = None
-        if len(kinds) > 1:
-            for t in kinds.values():
-                whole = t if whole is None else joined(whole, t)
-        return pd.DataFrame({"host": [key[0]], "slots": [json.dumps({kind: induced(t, whole) for kind, t in kinds.items()})]})
-
-    folded = pages.select("host", "html").mapInPandas(fold, "host string, kind string, template string")
-    salted = folded.select("*", F.pmod(F.xxhash64("template"), F.lit(SALTS)).alias("salt"))
-    partial = salted.groupBy("host", "salt").applyInPandas(refold, "host string, kind string, template string")
-    return partial.groupBy("host").applyInPandas(finish, "host string, slots string")
+                sizes[key] = sizes.get(key, 0) + more
+                total += more
+                if sizes[key] > slots:
+                    total -= sizes[key]
+                    sizes[key] = _nodes(held[key])
+                    total += sizes[key]
+                    if sizes[key] > slots // 2:
+                        total -= sizes[key]
+                        yield from given([key])
+                full = len(held) > hosts
+                if total > held_slots:
+                    sizes.update((k, _nodes(t)) for k, t in held.items())
+                    total = sum(sizes.values())
+                    full = full or total > held_slots // 2
+                if full:
+                    yield from given(list(held))
+                    total = 0
+        yield from given(list(held))
+
+    return pages.select("host", "html").mapInPandas(fold, "host string, kind string, path string, asks string, n long, h long, t long, l long, p boolean, has boolean")
+
+
+def wrappers(pages: DataFrame, holds: tuple[int, int, int] = HOLDS) -> DataFrame:
+    """(host, slots): the wrapper of each host from all of its pages (host, html), a line for each slot that has a rule.
+
+    By kind of page, ``same`` are constant slots, ``links`` mostly links, ``vary`` doubtful ones that vary.
+    Constancy counts from three pages on, of which not all are the same text, over the pages of
+    the kind or of the host (kind ``any``).  What a single page says of a slot is seen on that page.
+    """
+    each = slot_rows(pages, holds).withColumn("kind", F.explode(F.array("kind", F.lit(ANY))))
+    one = (F.count("h") == F.count("*")) & (F.min("h") == F.max("h"))
+    sums = [F.sum("n").alias("n"), F.coalesce(one, F.lit(False)).alias("one"), F.min("h").alias("h"), F.sum("t").alias("t"), F.sum("l").alias("l"), F.bool_or("p").alias("p"), F.bool_or("has").alias("has")]
+    known = checkpointed(each.groupBy("host", "kind", "path", "asks").agg(*sums).where("n >= 2"))
+
+    asked = known.where("asks != ''").select("host", "kind", "path", F.explode(F.split("asks", ",")).alias("ask"))
+    asked = asked.select("host", "kind", "path", F.substring("ask", 1, 1).alias("mark"), F.expr("substring(ask, 2)").alias("around"))
+    held = known.where("has").select("host", "kind", F.col("path").alias("around"), "has")
+    state = asked.join(held, ["host", "kind", "around"], "left").groupBy("host", "kind", "path")
+    state = state.agg(F.expr("bool_or(mark = '-' and has is null)").alias("out"), F.expr("bool_or(mark = '?' and has is null)").alias("doubtful"))
+    slots = known.join(state, ["host", "kind", "path"], "left").where("out is null or not out")
+
+    pages_ = slots.groupBy("host", "kind").agg(F.max("n").alias("pages"), F.expr("bool_or(not one)").alias("varied"))
+    rules = [
+        F.when(F.expr("varied and n >= 3 and n * 2 > pages and one and h != 0"), "same"),
+        F.when(F.expr("kind = 'plain' and l * 2 > t and p"), "links"),
+        F.when(F.expr(f"kind != '{ANY}' and doubtful and n >= 3 and not one and l * 2 <= t"), "vary"),
+    ]
+    said = slots.join(pages_, ["host", "kind"]).select("host", "kind", "path", F.explode(F.array_compact(F.array(*rules))).alias("what"))
+    lines = F.sort_array(F.collect_list(F.concat_ws(" ", "kind", "what", "path")))
+    return said.groupBy("host").agg(F.array_join(lines, "\n").alias("slots"))
 
 
 def extract_main_text(pages: DataFrame, keep: list[str] | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -430,20 +520,21 @@ def extract_main_text(pages: DataFrame, keep: list[str] | None = None, broadcast
     ignored; an empty table gives an empty table.  Elements nested beyond DEPTH hang on their ancestor there.
     """
     keep = keep or ["page_id", "url"]
-    hosted = pages.select(*keep, host_of().alias("host"), "html") if "host" not in keep else pages.select(*keep, "html")
+    host = F.when(F.length(host_of()) > 64, F.sha2(host_of(), 256)).otherwise(host_of())  # each slot's row names it
+    hosted = pages.select(*keep, host.alias("host"), "html") if "host" not in keep else pages.select(*keep, "html")
     known = checkpointed(wrappers(hosted))
     size = known.agg(F.sum(F.octet_length("slots"))).first()[0] or 0
     known = F.broadcast(known) if size <= broadcast_bytes else known
 
     @F.pandas_udf("string")
     def text(pages_: pd.Series, slots: pd.Series) -> pd.Series:
-        sets: dict[str, dict[str, dict[str, set[str]]]] = {}
+        rules: dict[str, dict[str, dict[str, set[str]]]] = {}
         out = []
         for page, found in zip(pages_, slots):
-            if found not in sets:
-                sets[found] = {kind: {name: set(paths) for name, paths in rule.items()} for kind, rule in json.loads(found).items()}
-            out.append(extracted(page, sets[found]) if isinstance(page, str) else "")
+            if found not in rules:
+                rules[found] = rules_of(found)
+            out.append(extracted(page, rules[found]) if isinstance(page, str) else "")
         return pd.Series(out, dtype=object)
 
-    done = hosted.join(known, "host").select(*keep, text("html", "slots").alias("text"))
+    done = hosted.join(known, "host", "left").select(*keep, text("html", F.coalesce("slots", F.lit(""))).alias("text"))
     return done.select(*keep, "text", F.length("text").cast("long").alias("n_chars"))

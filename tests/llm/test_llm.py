@@ -280,6 +280,91 @@ def test_tree_matching():
     assert wrapper.joined(wrapper.joined(a, b), a)["n"] == 3
 
 
+def _letters(n):
+    return "".join(chr(97 + int(c)) for c in str(n))
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_wide_pages_forget_no_slot(spark, parts):
+    """Hundreds of siblings of each page's own; a constant slot on all pages but the second is still template."""
+    own = lambda n: "".join(f'<div class="{_letters(n)}x{_letters(k)}">Word {n} {k}</div>' for k in range(500))
+    last = '<div class="zz">Always the same words</div>'
+    rows = [(n, "http://wide.example/", f"<body><h1>Title {n}</h1>{own(n)}{'' if n == 1 else last}</body>") for n in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+    found = {r.page_id: r.text for r in wrapper.extract_main_text(pages).collect()}
+    assert found == {n: " ".join([f"Title {n}", *(f"Word {n} {k}" for k in range(500))]) for n in range(12)}
+
+
+def _whole_wrapper(htmls):
+    """The lines of a host's wrapper from whole template trees, joined page by page."""
+    trees = {}
+    for text in htmls:
+        one = wrapper._folded(wrapper.parsed(text))
+        for kind in (wrapper.kind_of(one), wrapper.ANY):
+            trees[kind] = wrapper.joined(trees[kind], one) if kind in trees else one
+    lines = set()
+    for kind, tree in trees.items():
+        found = list(wrapper._slots(tree))
+        for path, n, _, doubtful in found:
+            if any(x[1]["h"] is None for x in found) and n["n"] >= 3 and n["n"] * 2 > tree["n"] and n["h"] not in (None, 0):
+                lines.add(f"{kind} same {wrapper._id(path)}")
+            if kind == "plain" and n["n"] > 1 and n["l"] * 2 > n["t"] and n["p"]:
+                lines.add(f"{kind} links {wrapper._id(path)}")
+            if kind != wrapper.ANY and doubtful and n["n"] >= 3 and n["h"] is None and n["l"] * 2 <= n["t"]:
+                lines.add(f"{kind} vary {wrapper._id(path)}")
+    return lines
+
+
+@pytest.mark.parametrize("holds", [wrapper.HOLDS, (1000, 8, 1000), (2, 1000, 40)])
+def test_wrappers_equal_whole_trees(spark, holds):
+    rng = np.random.default_rng(5)
+    classes = ["", "header", "share", "comment", "post", "search", "a", "b", "c", "d"]
+
+    def html(depth):
+        out = ""
+        for _ in range(rng.integers(1, 5)):
+            tag = rng.choice(["div", "div", "p", "section", "form", "header", "article", "nav"], p=[0.3, 0.2, 0.2, 0.1, 0.05, 0.05, 0.05, 0.05])
+            text = rng.choice(["same words", f"other {rng.integers(1000)}", '<a href="/">a link of many words</a> ab', ""])
+            out += f'<{tag} class="{rng.choice(classes)}">{text}{html(depth - 1) if depth else ""}</{tag}>'
+        return out
+
+    fixed = lambda k: "" if k % 7 == 3 else f'<div class="e">Always</div><form><p class="g">Always</p>{"<article>x</article>" if k % 40 < 4 else ""}</form>'
+    rows = [(f"h{k % 4}", f"<body>{html(2)}{fixed(k)}</body>") for k in range(160)]
+    found = {r.host: r.slots for r in wrapper.wrappers(spark.createDataFrame(rows, "host string, html string"), holds).collect()}
+    kinds = Counter()
+    for host in sorted({h for h, _ in rows}):
+        want = _whole_wrapper([t for h, t in rows if h == host])
+        assert found[host].split("\n") == sorted(want)
+        kinds.update(" ".join(line.split(" ")[:2]) for line in want)
+    assert {"any same", "plain links", "plain vary"} <= set(kinds)
+
+
+def test_alignment_is_of_greatest_size():
+    rng = np.random.default_rng(3)
+
+    def tree(depth):
+        names = rng.permutation(list("abcdefgh"))[: rng.integers(0, 7)]
+        return [{"s": str(s), "c": tree(depth - 1) if depth else []} for s in names]
+
+    def best(a, b):
+        score = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                score[i][j] = max(score[i + 1][j], score[i][j + 1])
+                if a[i]["s"] == b[j]["s"]:
+                    score[i][j] = max(score[i][j], score[i + 1][j + 1] + 1 + best(a[i]["c"], b[j]["c"]))
+        return score[0][0]
+
+    for _ in range(300):
+        a, b = tree(2), tree(2)
+        pairs = wrapper.aligned(a, b)
+        assert all(p < q and r < s for (p, r), (q, s) in zip(pairs, pairs[1:])) and all(a[i]["s"] == b[j]["s"] for i, j in pairs)
+        assert wrapper.matched(a, b) == best(a, b) == sum(1 + best(a[i]["c"], b[j]["c"]) for i, j in pairs)
+    # each level once: nested elements below differing siblings
+    one, two = (wrapper._folded(wrapper.parsed(f"<body>{h}" + "<div>" * 90)) for h in ("<h1>x</h1>", "<p>y</p>"))
+    assert wrapper.joined(one, two)["n"] == 2 and wrapper.matched(one["c"], two["c"]) == 91
+
+
 def test_bpe_equals_the_library(spark, docs, rows):
     from tokenizers import Tokenizer
 
