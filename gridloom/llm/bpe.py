@@ -10,6 +10,7 @@ bucket, because a row a word would be many times the text.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
 import struct
@@ -20,15 +21,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed_blocks, pieces_for, text_bytes, unpacked
+from .common import _POWERS, mix, packed_blocks, pieces_for, text_bytes, unpacked
 
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
 
 #: The endings that the byte-level pattern splits off after an apostrophe.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
-#: Class of code points that haven't been met yet.
-UNKNOWN = 255
+#: Class of code points that haven't been met yet, of what lies between parts of texts, and of special tokens.
+UNKNOWN, BETWEEN, SPECIAL = 255, 254, 253
+#: Texts are split in runs of about this many characters; a longer text is a run of its own.
+RUN_CHARS = 1 << 19
+#: Words of the texts whose results are put together at once; a longer text is alone.
+RUN_WORDS = 1 << 17
 
 
 def vocabulary(path: str) -> str:
@@ -65,41 +70,55 @@ class Splitter:
             at = np.arange(1, len(text), 2)
             self.classes[points[~starts[at] & ~starts[at + 1]]] = number
 
-    def pieces(self, text: str) -> list[str]:
+    def parts(self, text: str) -> list[tuple[str, bool]]:
+        """The text between special tokens, and these, marked."""
         for s in self.specials:
             if s in text:
                 out = []
                 for k, part in enumerate(text.split(s)):
-                    if k:
-                        out.append(s)
-                    out += self.pieces(part) if part else []
+                    out += [(s, True)] if k else []
+                    out += self.parts(part)
                 return out
-        return self._plain(text)
+        return [(text, False)] if text else []
 
-    def _plain(self, text: str) -> list[str]:
-        if not text:
-            return []
+    def pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The texts in UTF-8 with a byte between parts, each piece's first byte and length there, and each text's number of pieces."""
+        parts = [self.parts(t) for t in texts]
+        flat = [p for own in parts for p in own]
+        text = "\n".join([p for p, _ in flat])
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        edge = np.cumsum([0, *(len(p) + 1 for p, _ in flat)])
+        ends = edge[np.cumsum([len(own) for own in parts], dtype=np.int64)]
+        if not flat:
+            return np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
         kind = self.classes[codes]
         if (new := kind == UNKNOWN).any():
             self.learn(np.unique(codes[new]))
             kind = self.classes[codes]
-        n = len(kind)
-        starts = np.empty(n, bool)
+        kind[edge[1:-1] - 1] = BETWEEN
+        for k in [k for k, (_, special) in enumerate(flat) if special]:
+            kind[edge[k] : edge[k + 1] - 1] = SPECIAL
+        starts = np.empty(len(kind), bool)
         starts[0] = True
         np.not_equal(kind[1:], kind[:-1], out=starts[1:])
         # the last white space before other characters: a blank goes with them, else it stands alone
-        last = np.flatnonzero((kind[:-1] == 3) & (kind[1:] != 3))
+        last = np.flatnonzero((kind[:-1] == 3) & (kind[1:] < 3))
         starts[last] = True
         starts[last[codes[last] == 32] + 1] = False
         if "'" in text:
             self._endings(text, codes, kind, starts)
-        at = np.flatnonzero(starts).tolist()
-        return [text[a:b] for a, b in zip(at, [*at[1:], n])]
+        at = np.flatnonzero(starts)
+        width = (1 + (codes > 0x7F).view(np.uint8) + (codes > 0x7FF).view(np.uint8) + (codes > 0xFFFF).view(np.uint8)).astype(np.uint8)
+        length = np.add.reduceat(width, at, dtype=np.int64)
+        first = np.cumsum(length) - length
+        inside = kind[at] != BETWEEN
+        at, first, length = at[inside], first[inside], length[inside]
+        many = np.diff(np.searchsorted(at, ends), prepend=0)
+        return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), first, length, many
 
     @staticmethod
     def _endings(text, codes, kind, starts) -> None:
-        for a in np.flatnonzero((codes == 39) & starts).tolist():
+        for a in np.flatnonzero((codes == 39) & (kind == 2) & starts).tolist():
             for e in ENDINGS:
                 if text.startswith(e, a + 1):
                     starts[a + 1] = False
@@ -152,11 +171,98 @@ def pieces(content: str) -> dict[int, bytes]:
     return table | {t["id"]: t["content"].encode() for t in data["added_tokens"]}
 
 
-def _packed(words: list[bytes]) -> bytes:
-    import zstandard
+@lru_cache(1)
+def spelled(content: str) -> tuple[Spelling, Spelling]:
+    """Each id in decimal with a comma, and the bytes that it stands for; one for a worker's life."""
+    table = pieces(content)
+    spell = lambda strings: Spelling(np.frombuffer(b"".join(strings), np.uint8), np.fromiter(map(len, strings), np.int64, len(strings)))
+    return spell([b"%d," % i for i in range(max(table) + 1)]), spell([table.get(i, b"") for i in range(max(table) + 1)])
+
+
+def gathered(data: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The items of all ranges (first, length) of ``data``, on end."""
+    end = np.cumsum(length)
+    return data[np.repeat(first - (end - length), length) + np.arange(end[-1] if len(end) else 0)]
+
+
+class Spelling:
+    """Byte strings, by number: the ranges (first, length) of ``data``."""
+
+    def __init__(self, data: np.ndarray, length: np.ndarray) -> None:
+        self.data, self.length, self.first = data, length, np.cumsum(length) - length
+
+    def joined(self, numbers: np.ndarray, counts: np.ndarray) -> Spelling:
+        """The strings of these numbers, joined in runs of so many."""
+        length = self.length[numbers]
+        ends = np.concatenate([[0], np.cumsum(length)])[np.cumsum(counts)]
+        return Spelling(gathered(self.data, self.first[numbers], length), np.diff(ends, prepend=0))
+
+    def strings(self) -> list[bytes]:
+        body, ends = self.data.tobytes(), (self.first + self.length).tolist()
+        return [body[a:b] for a, b in zip([0, *ends], ends)]
+
 
-    lengths = np.fromiter(map(len, words), np.uint32, len(words))
-    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<I", len(words)) + lengths.tobytes() + b"".join(words))
+def piece_hashes(data: np.ndarray, first: np.ndarray, length: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit hashes of the ranges of ``data``."""
+    up, down = _POWERS.upto(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(np.random.default_rng(seed).integers(1, 1 << 64, 256, np.uint64)[data] * up[: len(data)], out=total[1:])
+    return mix((total[first + length] - total[first]) * down[first] + length.astype(np.uint64))
+
+
+class Words:
+    """The texts of a block as numbers of its distinct words.
+
+    Words have numbers by bucket and hash, so that the same texts in any order give the same; they
+    are compared byte by byte, and where two share a hash all are hashed anew.
+    """
+
+    def __init__(self, split: Splitter, texts: list[str], buckets: int, hashes=piece_hashes) -> None:
+        runs, sizes = [[]], 0
+        for t in texts:
+            if sizes and sizes + len(t) > RUN_CHARS:
+                runs, sizes = [*runs, []], 0
+            runs[-1].append(t)
+            sizes += len(t)
+        found = [split.pieces(r) for r in runs]
+        self.many = np.concatenate([many for *_, many in found])
+        start = np.cumsum([0, *(len(data) for data, *_ in found)])
+        self.data = np.concatenate([data for data, *_ in found])
+        first = np.concatenate([f + s for (_, f, _, _), s in zip(found, start)])
+        length = np.concatenate([n for _, _, n, _ in found])
+        for seed in itertools.count():
+            at, values = pd.factorize(np.concatenate([hashes(data, f, n, seed) for data, f, n, _ in found]))
+            one = np.empty(len(values), np.int64)
+            one[at] = np.arange(len(at))
+            if self._same(first, length, one[at]):
+                break
+        bucket = (values % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((values, bucket))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.at, self.first, self.length, self.bucket = place[at], first[one][order], length[one][order], bucket[order]
+
+    def _same(self, first: np.ndarray, length: np.ndarray, one: np.ndarray) -> bool:
+        """Whether every piece equals the one that stands for it."""
+        if not np.array_equal(length, length[one]):
+            return False
+        step = 1 << 17
+        return all(
+            np.array_equal(gathered(self.data, first[k : k + step], length[k : k + step]), gathered(self.data, first[one[k : k + step]], length[k : k + step]))
+            for k in range(0, len(first), step)
+        )
+
+    def by_bucket(self):
+        """(bucket, first, last): the numbers of each bucket's words."""
+        edges = [0, *(np.flatnonzero(np.diff(self.bucket)) + 1).tolist(), len(self.bucket)]
+        return [(int(self.bucket[a]), a, b) for a, b in zip(edges, edges[1:]) if a < b]
+
+    def packed(self, a: int, b: int) -> bytes:
+        """The words from number a to b, as ``_unpacked`` reads them."""
+        import zstandard
+
+        body = gathered(self.data, self.first[a:b], self.length[a:b])
+        return zstandard.ZstdCompressor(level=1).compress(struct.pack("<I", b - a) + self.length[a:b].astype(np.uint32).tobytes() + body.tobytes())
 
 
 def _unpacked(data: bytes) -> list[bytes]:
@@ -177,24 +283,13 @@ def _packed_ids(ids: list[list[int]]) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(struct.pack("<I", len(ids)) + lengths.tobytes() + flat.tobytes())
 
 
-def _unpacked_ids(data: bytes) -> list[list[int]]:
+def _unpacked_ids(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each word has, and all of them on end."""
     import zstandard
 
     data = zstandard.ZstdDecompressor().decompress(data)
     (n,) = struct.unpack_from("<I", data)
-    ends = np.cumsum(np.frombuffer(data, np.uint32, n, 4)).tolist()
-    flat = np.frombuffer(data, np.uint32, -1, 4 + 4 * n).tolist()
-    return [flat[a:b] for a, b in zip([0, *ends], ends)]
-
-
-def _by_bucket(words, buckets: int) -> dict[int, list[bytes]]:
-    """The distinct words of a block, in byte order, by the bucket that encodes them."""
-    import xxhash
-
-    out: dict[int, list[bytes]] = {}
-    for w in sorted(x.encode("utf-8", "surrogatepass") for x in words):
-        out.setdefault(xxhash.xxh3_64_intdigest(w) % buckets, []).append(w)
-    return out
+    return np.frombuffer(data, np.uint32, n, 4).astype(np.int64), np.frombuffer(data, np.uint32, -1, 4 + 4 * n)
 
 
 def _texts(payloads):
@@ -219,12 +314,8 @@ def encoded(
     payloads = packed_blocks(source, source.columns, blocks).repartition(blocks, "block")
 
     def ask(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        split = splitter(content.value)
-        words: set[str] = set()
-        for payload in frame["payload"]:
-            for text in _texts([payload])[1]:
-                words.update(split.pieces(text))
-        rows = [(key[0], b, _packed(w)) for b, w in _by_bucket(words, buckets).items()]
+        words = Words(splitter(content.value), _texts(frame["payload"])[1], buckets)
+        rows = [(key[0], bucket, words.packed(a, b)) for bucket, a, b in words.by_bucket()]
         return pd.DataFrame(rows, columns=["block", "bucket", "words"])
 
     asked = payloads.groupBy("block").applyInPandas(ask, "block long, bucket long, words binary")
@@ -243,30 +334,31 @@ def encoded(
     answered = asked.groupBy("bucket").applyInPandas(answer, "block long, bucket long, ids binary")
 
     def join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        split, table = splitter(content.value), pieces(content.value)
-        # the block's words again, so that only ids had to travel back; texts become positions in their list
-        index: dict[str, int] = {}
-        frames, texts = [], []
-        for payload in left["payload"]:
-            frame, parts = _texts([payload])
-            frames.append(frame[keep])
-            texts += [np.array([index.setdefault(w, len(index)) for w in split.pieces(t)], np.int32) for t in parts]
-        count, lines, decoded, ids = [0] * len(index), [b""] * len(index), [b""] * len(index), [[]] * len(index)
+        whole, texts = _texts(left["payload"])
+        # the block's words again, so that only ids had to travel back
+        words = Words(splitter(content.value), texts, buckets)
+        whole, texts = whole[keep].reset_index(drop=True), None
         replies = dict(zip(right["bucket"], right["ids"]))
-        for bucket, asked_words in _by_bucket(index, buckets).items():
-            for w, i in zip(asked_words, _unpacked_ids(replies[bucket])):
-                k = index[w.decode("utf-8", "surrogatepass")]
-                count[k], lines[k], decoded[k] = len(i), ",".join(map(str, i)).encode(), b"".join([table[x] for x in i])
-                if with_ids:
-                    ids[k] = i
-        rows = []
-        for at in map(np.ndarray.tolist, texts):
-            line = b",".join([lines[k] for k in at])
-            text = b"".join([decoded[k] for k in at]).decode("utf-8", "replace")
-            row = [sum([count[k] for k in at]), hashlib.sha256(line).hexdigest(), hashlib.sha256(text.encode()).hexdigest()]
-            rows.append([*row, [x for k in at for x in ids[k]], text] if with_ids else row)
+        told = [_unpacked_ids(replies[bucket]) for bucket, _, _ in words.by_bucket()]
+        count = np.concatenate([np.zeros(0, np.int64), *(n for n, _ in told)])
+        ids = np.concatenate([np.zeros(0, np.uint32), *(i for _, i in told)])
+        lines, decoded = (s.joined(ids, count) for s in spelled(content.value))
+        first = np.cumsum(count) - count
+        ends = np.concatenate([[0], np.cumsum(words.many)])
+        rows, low = [], 0
+        while low < len(words.many):
+            # as many texts at a time as have RUN_WORDS words; one at least
+            high = max(low + 1, int(np.searchsorted(ends, ends[low] + RUN_WORDS, "right")) - 1)
+            at, many = words.at[ends[low] : ends[high]], words.many[low:high]
+            tokens = np.diff(np.concatenate([[0], np.cumsum(count[at])])[np.cumsum(many)], prepend=0)
+            for n, line, text in zip(tokens.tolist(), lines.joined(at, many).strings(), decoded.joined(at, many).strings()):
+                text = text.decode("utf-8", "replace")
+                rows.append([n, hashlib.sha256(line[:-1]).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), *([text] if with_ids else [])])
+            if with_ids:
+                listed = np.split(gathered(ids, first[at], count[at]), np.cumsum(tokens)[:-1])
+                rows[low:] = [[*row[:3], i.tolist(), row[3]] for row, i in zip(rows[low:], listed)]
+            low = high
         names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])]
-        whole = pd.concat(frames, ignore_index=True)
         return pd.concat([whole, pd.DataFrame(rows, columns=names, index=whole.index)], axis=1)
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
