@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _POWERS, mix, packed_blocks, pieces_for, text_bytes, unpacked
+from .common import _POWERS, give_back, mix, packed_blocks, pieces_for, text_bytes, unpacked
 
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
@@ -202,6 +202,11 @@ class Spelling:
         return [body[a:b] for a, b in zip([0, *ends], ends)]
 
 
+def narrow(values: np.ndarray, top: int) -> np.ndarray:
+    """``values``, which ``top`` bounds, in 32 bits if these hold it."""
+    return values.astype(np.int32) if top < 1 << 31 else values
+
+
 def piece_hashes(data: np.ndarray, first: np.ndarray, length: np.ndarray, seed: int) -> np.ndarray:
     """64-bit hashes of the ranges of ``data``."""
     up, down = _POWERS.upto(len(data) + 1)
@@ -224,33 +229,47 @@ class Words:
                 runs, sizes = [*runs, []], 0
             runs[-1].append(t)
             sizes += len(t)
-        found = [split.pieces(r) for r in runs]
+        found, data, pieces, held = [], [], 0, 0
+        for r in runs:
+            body, first, length, many = split.pieces(r)
+            data.append(body)
+            found.append((pieces, held, narrow(first, len(body)), narrow(length, len(body)), many))
+            pieces, held = pieces + len(first), held + len(body)
+        # arrays of all pieces are many times the text, so none is wider or lives longer than it must
         self.many = np.concatenate([many for *_, many in found])
-        start = np.cumsum([0, *(len(data) for data, *_ in found)])
-        self.data = np.concatenate([data for data, *_ in found])
-        first = np.concatenate([f + s for (_, f, _, _), s in zip(found, start)])
-        length = np.concatenate([n for _, _, n, _ in found])
+        kind = narrow(np.zeros(0, np.int64), held).dtype
+        first, length = np.empty(pieces, kind), np.empty(pieces, kind)
+        for k, start, f, n, _ in found:
+            first[k : k + len(f)] = f
+            first[k : k + len(f)] += kind.type(start)
+            length[k : k + len(n)] = n
+        self.data = np.concatenate(data)
+        data = np.split(self.data, [start for _, start, *_ in found[1:]])
         for seed in itertools.count():
-            at, values = pd.factorize(np.concatenate([hashes(data, f, n, seed) for data, f, n, _ in found]))
-            one = np.empty(len(values), np.int64)
-            one[at] = np.arange(len(at))
-            if self._same(first, length, one[at]):
+            values = np.empty(pieces, np.uint64)
+            for body, (k, _, f, n, _) in zip(data, found):
+                values[k : k + len(f)] = hashes(body, f, n, seed)
+            # the table of hashes grows with the distinct ones; by default it starts with room for all
+            at, values = pd.factorize(values, size_hint=pieces >> 4)
+            at = narrow(at, pieces)
+            one = np.empty(len(values), at.dtype)
+            one[at] = np.arange(pieces, dtype=at.dtype)
+            if self._same(first, length, one, at):
                 break
         bucket = (values % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((values, bucket))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
+        place = np.empty(len(order), at.dtype)
+        place[order] = np.arange(len(order), dtype=at.dtype)
         self.at, self.first, self.length, self.bucket = place[at], first[one][order], length[one][order], bucket[order]
 
-    def _same(self, first: np.ndarray, length: np.ndarray, one: np.ndarray) -> bool:
+    def _same(self, first: np.ndarray, length: np.ndarray, one: np.ndarray, at: np.ndarray) -> bool:
         """Whether every piece equals the one that stands for it."""
-        if not np.array_equal(length, length[one]):
-            return False
         step = 1 << 17
-        return all(
-            np.array_equal(gathered(self.data, first[k : k + step], length[k : k + step]), gathered(self.data, first[one[k : k + step]], length[k : k + step]))
-            for k in range(0, len(first), step)
-        )
+        for k in range(0, len(first), step):
+            n, its = length[k : k + step], one[at[k : k + step]]
+            if not np.array_equal(n, length[its]) or not np.array_equal(gathered(self.data, first[k : k + step], n), gathered(self.data, first[its], n)):
+                return False
+        return True
 
     def by_bucket(self):
         """(bucket, first, last): the numbers of each bucket's words."""
@@ -316,6 +335,8 @@ def encoded(
     def ask(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         words = Words(splitter(content.value), _texts(frame["payload"])[1], buckets)
         rows = [(key[0], bucket, words.packed(a, b)) for bucket, a, b in words.by_bucket()]
+        words = None
+        give_back()
         return pd.DataFrame(rows, columns=["block", "bucket", "words"])
 
     asked = payloads.groupBy("block").applyInPandas(ask, "block long, bucket long, words binary")
@@ -329,7 +350,10 @@ def encoded(
         for at in range(0, len(distinct), 20_000):
             part = distinct[at : at + 20_000]
             known.update(zip(part, encode.ids([w.decode("utf-8", "surrogatepass") for w in part])))
-        return pd.DataFrame({"block": frame["block"], "bucket": frame["bucket"], "ids": [_packed_ids([known[w] for w in r]) for r in requests]})
+        ids = [_packed_ids([known[w] for w in r]) for r in requests]
+        requests = distinct = known = None
+        give_back()
+        return pd.DataFrame({"block": frame["block"], "bucket": frame["bucket"], "ids": ids})
 
     answered = asked.groupBy("bucket").applyInPandas(answer, "block long, bucket long, ids binary")
 
@@ -338,6 +362,7 @@ def encoded(
         # the block's words again, so that only ids had to travel back
         words = Words(splitter(content.value), texts, buckets)
         whole, texts = whole[keep].reset_index(drop=True), None
+        words.data = words.first = words.length = None
         replies = dict(zip(right["bucket"], right["ids"]))
         told = [_unpacked_ids(replies[bucket]) for bucket, _, _ in words.by_bucket()]
         count = np.concatenate([np.zeros(0, np.int64), *(n for n, _ in told)])
@@ -358,6 +383,8 @@ def encoded(
                 listed = np.split(gathered(ids, first[at], count[at]), np.cumsum(tokens)[:-1])
                 rows[low:] = [[*row[:3], i.tolist(), row[3]] for row, i in zip(rows[low:], listed)]
             low = high
+        words = told = count = ids = lines = decoded = None
+        give_back()
         names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])]
         return pd.concat([whole, pd.DataFrame(rows, columns=names, index=whole.index)], axis=1)
 

@@ -67,6 +67,18 @@ def pieces_for(total: int, each: int) -> int:
     return max(1, math.ceil(total / each))
 
 
+def give_back() -> None:
+    """Hands pages that a worker has freed back to the machine; else it keeps them while other stages run."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 # --- hashing ---------------------------------------------------------------
 
 

@@ -109,8 +109,7 @@ def components(shelf: Shelf, edges: DataFrame) -> DataFrame:
     vertex's neighbours are gathered.
     """
     edges = shelf.put(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    while True:
+    while not _all_stars(edges):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # large star: neighbours above a vertex move to its least neighbour
@@ -119,12 +118,15 @@ def components(shelf: Shelf, edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
         edges = shelf.put(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct())
-        print_ = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if print_ == seen:
-            break
-        seen = print_
     own = edges.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("root"))
-    return shelf.put(edges.select(F.col("a").alias("id"), F.col("b").alias("root")).union(own))
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).union(own)
+
+
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every upper end of ``edges`` (a, b), b below a, has one edge and is no edge's lower end; then lower ends are the roots."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(1).alias("up")), F.struct(F.col("b").alias("id"), F.lit(0).alias("up")))).alias("e"))
+    ends = ends.groupBy("e.id").agg(F.sum("e.up").alias("up"), F.min("e.up").alias("low"))
+    return ends.agg(F.count(F.when(F.expr("up > 1 OR up = 1 AND low = 0"), 1))).first()[0] == 0
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
