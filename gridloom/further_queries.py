@@ -269,8 +269,7 @@ def _sampled(spark, d):
     key = F.col("s_suppkey")
     at = F.array(key * 37 % 630 / 10.0 + 0.03, key * 53 % 610 / 10.0 + 0.07)
     points = S.table(spark, d, "supplier").select(F.lit(0).cast("long").alias(ID), key.cast("long").alias("k"), at.alias("p"))
-    found = geometry.resample_at(_img(spark, d), points.select(ID, "p"))
-    return _flat(points.join(found, [ID, "p"]), "k", "v")
+    return _flat(geometry.resample_at(_img(spark, d), points), "k", "v")
 
 
 # --- spectra and wavelets ------------------------------------------------------------------------------

@@ -293,7 +293,10 @@ def shift_ft(r: Raster, by: list[float]) -> Raster:
 
 
 def resample_at(r: Raster, points: DataFrame, method: str = "linear") -> DataFrame:
-    """``points`` (image_id, p array<double>, x first) with the image's value there: image_id, p, v."""
+    """``points`` (image_id, p array<double>, x first, and any others) with the image's value there: image_id, p, the others, v.
+
+    Each point keeps its own row; points at one place of an image are computed once.
+    """
     import pandas as pd
 
     from ..plans.engine import to_array
@@ -307,7 +310,9 @@ def resample_at(r: Raster, points: DataFrame, method: str = "linear") -> DataFra
         a = to_array(image, dims, sizes)
         return wanted.assign(v=G.at_positions(a, np.stack(list(wanted["p"])), method))
 
-    return left.cogroup(points.select(ID, "p").groupBy(ID)).applyInPandas(run, f"{ID} long, p array<double>, v double")
+    places = points.select(ID, "p").distinct()
+    found = left.cogroup(places.groupBy(ID)).applyInPandas(run, f"{ID} long, p array<double>, v double")
+    return points.drop("v").join(found, [ID, "p"])
 
 
 prepare_resample_at_unchecked = resample_at_unchecked = resample_at

@@ -63,6 +63,13 @@ def test_resample_at(image, spark):
     assert geometry.resample_at(image(A), points).first()["v"] == pytest.approx((A[2, 1] + A[2, 2]) / 2)
 
 
+def test_points_at_one_place_keep_their_rows(image, spark):
+    points = spark.createDataFrame([(0, 7, [1.5, 2.0]), (0, 8, [1.5, 2.0]), (0, 9, [3.0, 4.0])], f"{ID} long, k long, p array<double>")
+    rows = geometry.resample_at(image(A), points).collect()
+    between = (A[2, 1] + A[2, 2]) / 2
+    assert sorted((r["k"], r["v"]) for r in rows) == [(7, between), (8, between), (9, A[4, 3])]
+
+
 def test_thresholds_part_two_classes(image):
     a = np.concatenate([rng.normal(20, 3, 600), rng.normal(80, 3, 400)]).reshape(25, 40)
     r = image(a)
