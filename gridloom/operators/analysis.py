@@ -383,19 +383,45 @@ def probabilistic_pair_correlation(r: Raster, length: int = 100) -> DataFrame:
     return pair_correlation(r, length, True)
 
 
+#: pixels of a line that are together in one part, and how many parts of one step are in one of the next
+PART, PARTS = 1 << 12, 1 << 14
+
+
+def _runs(pixels: DataFrame, line: list[str], length: int) -> DataFrame:
+    """(line, v, n, lo, hi): runs of equal value along lines of ``length``, from ``pixels`` (line, lo, v).
+
+    Lines are cut into parts.  Runs inside a part are done; its first and last may go on in other parts
+    and join them in longer ones, step by step, so no task holds a whole line.
+    """
+    part = Window.partitionBy(*line, "part").orderBy("lo")
+    so_far = part.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    columns = [*line, "v", "n", "lo", "hi"]
+    # a pixel is a run of one; no columns yet, so that all branches of the first step share its shuffle
+    found, rows, width, hi, n, joins = None, pixels, PART, F.col("lo"), F.lit(1), F.lit(True)
+    while True:
+        rows = rows.select("*", F.expr(f"lo div {width}").alias("part"))
+        new = F.lag("lo").over(part).isNull() | ~F.lag("v").over(part).eqNullSafe(F.col("v")) | ~joins
+        rows = rows.select(*line, "part", "v", "lo", hi.alias("hi"), new.alias("new"), F.sum(n).over(so_far).alias("sum"), n.alias("n"))
+        ahead, start = F.lead("new").over(part), lambda c: F.max(F.when(F.col("new"), c)).over(so_far)
+        rows = rows.select(*line, "v", "hi", "sum", start(F.col("lo")).alias("lo"), start(F.col("sum") - F.col("n")).alias("before"), ahead.alias("ahead"))
+        runs = rows.where("ahead IS NULL OR ahead").select("*", (F.col("sum") - F.col("before")).alias("n"))
+        if width >= length:
+            return runs.select(columns) if found is None else found.union(runs.select(columns))
+        first, last = F.col("before") == 0, F.col("ahead").isNull()
+        done, rows = runs.where(~first & ~last).select(columns), runs.where(first | last).select(*columns, first.alias("joins"))
+        found = done if found is None else found.union(done)
+        width, hi, n, joins = width * PARTS, F.col("hi"), F.col("n"), F.col("joins")
+
+
 def chord_length(r: Raster, over: list[str] | None = None) -> DataFrame:
     """(image_id, phase, x, count): lengths of runs of equal value along lines, without those that touch the edge."""
     rows = None
     for d, n in zip(r.dims, r.sizes):
         if over is not None and d not in over:
             continue
-        line = Window.partitionBy(ID, *[k for k in r.dims if k != d]).orderBy(d)
-        new = (F.coalesce(F.lag(F.col(r.value)).over(line) != F.col(r.value), F.lit(True))).cast("int")
-        marked = r.df.select(*r.keys, F.col(r.value).alias("v"), new.alias("n"))
-        run = marked.select(*r.keys, "v", F.sum("n").over(line).alias("run"))
-        others = [k for k in r.dims if k != d]
-        one = run.groupBy(ID, *others, "run", "v").agg(F.count("*").alias("x"), F.min(d).alias("lo"), F.max(d).alias("hi"))
-        one = one.where((F.col("lo") > 0) & (F.col("hi") < n - 1)).select(ID, F.col("v").cast("long").alias("phase"), "x")
+        line = [ID, *[k for k in r.dims if k != d]]
+        runs = _runs(r.df.select(*line, F.col(d).alias("lo"), F.col(r.value).alias("v")), line, n)
+        one = runs.where((F.col("lo") > 0) & (F.col("hi") < n - 1)).select(ID, F.col("v").cast("long").alias("phase"), F.col("n").alias("x"))
         rows = one if rows is None else rows.union(one)
     return rows.groupBy(ID, "phase", "x").count()
 

@@ -637,9 +637,11 @@ u AS (SELECT p, g, count(*) AS x, min(i) AS lo, max(i) AS hi FROM c GROUP BY p,
 @query("dst_chordlength", f"WITH {_RUNS} SELECT p AS phase, x, count(*) AS count FROM u WHERE lo > 1 AND hi < (SELECT count(*) FROM events) GROUP BY 1, 2")
 def dst_chordlength(spark, d):
     e = S.table(spark, d, "events")
-    n = e.count()
-    numbered = e.select(F.lit(0).cast("long").alias(ID), F.col("event_id").cast("int").alias("x"), (F.col("value") > 50).cast("double").alias("v"))
-    return analysis.chord_length(Raster(numbered, (n,))).select("phase", "x", "count")
+    least, most = e.agg(F.min("event_id"), F.max("event_id")).first()
+    least, most = (0, -1) if least is None else (least, most)
+    # ids give the order; a gap between two of them parts no run
+    ordered = e.select(F.lit(0).cast("long").alias(ID), (F.col("event_id") - least).alias("x"), (F.col("value") > 50).cast("double").alias("v"))
+    return analysis.chord_length(Raster(ordered, (most - least + 1,))).select("phase", "x", "count")
 
 
 @query("var_semivariogram", f"WITH {IMG}, p AS (SELECT CAST(q.x - p.x + q.y - p.y AS INTEGER) AS x, 0.5 * (p.v - q.v) ** 2 AS g FROM img p JOIN img q ON q.y = p.y AND q.x - p.x BETWEEN 1 AND 100 OR q.x = p.x AND q.y - p.y BETWEEN 1 AND 100) SELECT x, round(avg(g), 4) AS y FROM p GROUP BY x")

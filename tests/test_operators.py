@@ -1,5 +1,7 @@
 """Plans: tiles equal whole images, lines equal kernels, distributed forms equal local ones."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -7,7 +9,7 @@ from gridloom.kernels import filters as K
 from gridloom.kernels import morphology as MK
 from gridloom.operators import analysis, display, extension, generators, geometry, graph, linear, measurement, morphology, nonlinear, pointwise, regions, statistics, threshold
 from gridloom.plans.engine import per_tile
-from gridloom.raster import ID
+from gridloom.raster import ID, Raster
 
 rng = np.random.default_rng(3)
 A = rng.integers(0, 50, (23, 31)).astype(float)
@@ -70,6 +72,27 @@ def test_points_at_one_place_keep_their_rows(image, spark):
     assert sorted((r["k"], r["v"]) for r in rows) == [(7, between), (8, between), (9, A[4, 3])]
 
 
+def chords(a):
+    """Lengths of the runs of a line between its first and its last, with their phases."""
+    cuts = np.flatnonzero(np.diff(a)) + 1
+    return [(int(a[i]), int(j - i)) for i, j in zip(cuts, cuts[1:])]
+
+
+@pytest.mark.parametrize("part, parts", [(1, 2), (4, 3), (5, 100), (100, 2)])
+def test_chords_in_parts(image, monkeypatch, part, parts):
+    monkeypatch.setattr(analysis, "PART", part)
+    monkeypatch.setattr(analysis, "PARTS", parts)
+    b = np.repeat(rng.integers(0, 3, (9, 16)), rng.integers(1, 9, 16), axis=1)
+    b[3], b[4] = 1, np.arange(b.shape[1]) // 30 % 2  # lines of one run, and of long ones
+    found = {(r["phase"], r["x"]): r["count"] for r in analysis.chord_length(image(b)).collect()}
+    assert found == Counter(c for lines in (b, b.T) for line in lines for c in chords(line))
+
+
+def test_chords_of_missing_values(spark):
+    r = Raster(spark.createDataFrame([(0, k, v) for k, v in enumerate([1.0, None, None, 1.0, 0.0, None, 0.0])], f"{ID} long, x int, v double"), (7,))
+    assert sorted(map(repr, analysis.chord_length(r).drop(ID).collect())) == sorted(f"Row(phase={p}, x={x}, count=1)" for p, x in ((None, 2), (1, 1), (0, 1), (None, 1)))
+
+
 def test_thresholds_part_two_classes(image):
     a = np.concatenate([rng.normal(20, 3, 600), rng.normal(80, 3, 400)]).reshape(25, 40)
     r = image(a)

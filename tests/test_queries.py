@@ -70,6 +70,22 @@ def test_suppliers_at_one_place(spark, duck, tmp_path):
     assert len(mine) == 10 and mine == theirs
 
 
+@pytest.mark.parametrize("change, where", [("event_id * 3000000000000000 - 7 AS event_id", "true"), ("CASE WHEN event_id % 9 > 2 THEN value END AS value", "true"), ("80.0 AS value", "true"), ("value", "false")])
+def test_chords_of_odd_events(spark, duck, tmp_path, change, where):
+    replaced = f"REPLACE ({change})" if " AS " in change else ""
+    duck.execute(f"COPY (SELECT * {replaced} FROM events WHERE {where}) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    mine, theirs = against_sql(spark, "dst_chordlength", tmp_path)
+    assert mine == theirs
+
+
+def test_chords_of_many_events_share_no_task(spark, duck, tmp_path):
+    duck.execute(f"COPY (SELECT * REPLACE (event_id + 1000 * i AS event_id) FROM events, (SELECT unnest(range(20)) AS i)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    mine, theirs = against_sql(spark, "dst_chordlength", tmp_path)
+    assert mine == theirs
+    plan = entry.queries()["dst_chordlength"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "hashpartitioning(part" in plan
+
+
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
 
